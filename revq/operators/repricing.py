@@ -69,10 +69,11 @@ def reprice(
     units, price = dbl(F.col("units_sold")), dbl(F.col("final_price"))
     old_discount = dbl(F.col("discount_percent"))
     repriced = discount.isNotNull() | cut.isNotNull()
-    new_discount = F.coalesce(discount, F.greatest(old_discount - cut, F.lit(0.0)), old_discount)
+    # greatest() skips a NULL and would answer 0, so what may be NULL is tested first.
+    lowered = F.when(cut.isNotNull(), F.greatest(old_discount - cut, F.lit(0.0)))
+    new_discount = F.coalesce(discount, lowered, old_discount)
     new_price = F.when(repriced, dbl(F.col("base_price")) * (1 - new_discount / 100)).otherwise(price)
     change = ratio(new_price - price, price)
-    # greatest() would skip a NULL and answer 0.
     moved = units * (1 + response * change)
     new_units = (
         F.when(repriced, F.when(moved.isNotNull(), F.greatest(moved, F.lit(0.0))))

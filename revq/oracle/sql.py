@@ -1 +1,9 @@
-def all_queries(): return {}
+"""All oracle queries."""
+
+from __future__ import annotations
+
+from revq.oracle import adhoc, model, views, whatif
+
+
+def all_queries() -> dict[str, str]:
+    return model.queries() | adhoc.queries() | views.queries() | whatif.queries()
