@@ -71,16 +71,17 @@ def with_global_ranks(
     dense: Mapping[str, Order] | None = None,
     tiles: Mapping[str, tuple[int, Order]] | None = None,
     numbers: Mapping[str, Order] | None = None,
+    total: int | None = None,
     row_limit: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Add dense ranks, n-tiles and row numbers that span all rows.
 
     Orders given to `tiles` and `numbers` should be total. The added columns
-    are BIGINT.
+    are BIGINT. `total` is the number of rows of a `df` that is written already.
     """
     dense, tiles, numbers = dense or {}, tiles or {}, numbers or {}
-    rows = materialise(df)
-    total = rows.count()
+    rows = df if total is not None else materialise(df)
+    total = rows.count() if total is None else total
     if total <= row_limit:
         added = {k: F.dense_rank().over(Window.orderBy(*_sort(o))) for k, o in dense.items()}
         added |= {k: F.ntile(n).over(Window.orderBy(*_sort(o))) for k, (n, o) in tiles.items()}

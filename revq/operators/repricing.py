@@ -3,16 +3,18 @@
 A scenario changes the rows its legs select. Three models are known: a new
 discount, a discount cut by some points, and more volume at the same price.
 `reprice` turns the parameters of one leg into a row's new discount, price,
-units and revenue. `run` selects all matching legs of each row, looks up their
-parameters and sums per scenario, so the order table is read once for any
-number of scenarios and only sums are shuffled.
+units and revenue. `run` finds the selections each row belongs to, looks up
+the legs that use them and sums per scenario. The order table is read once for
+any number of scenarios, and only sums are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from functools import reduce
+from numbers import Number
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,77 +97,70 @@ def apply_where(orders: DataFrame, mask: Column, changed: dict[str, Column]) ->
     )
 
 
-def _mask(leg: Leg, params: Column) -> Column:
+def _filled(setting: Number | str | None, params: Mapping[str, Number | None]) -> Number | None:
+    return params[setting] if isinstance(setting, str) else setting
+
+
+def fill(scenario: Scenario, params: Mapping[str, Number | None]) -> Scenario:
+    """Put data-driven parameters in; a leg whose parameter is unknown falls away."""
+    legs = []
+    for leg in scenario.legs:
+        discount, above = _filled(leg.discount, params), _filled(leg.above, params)
+        unknown = (leg.discount is not None and discount is None) or (
+            leg.above is not None and above is None
+        )
+        if not unknown:
+            legs.append(replace(leg, discount=discount, above=above))
+    label = scenario.label
+    if scenario.shown:
+        shown = params[scenario.shown]
+        label = label.format("n/a" if shown is None else f"{shown:f}")
+    return replace(scenario, label=label, legs=tuple(legs))
+
+
+def _mask(leg: Leg) -> Column:
     tests = [F.col(column).isin(*values) for column, values in leg.where.items()]
     if leg.above is not None:
-        tests.append(dbl(F.col("discount_percent")) > _value(leg.above, params))
+        tests.append(F.col("discount_percent") > leg.above)
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _value(setting: float | str | None, params: Column) -> Column:
-    if isinstance(setting, str):
-        return dbl(params[setting])
-    return F.lit(setting).cast("double")
-
-
-def _leg_masks(scenarios: Sequence[Scenario], params: Column) -> list[Column]:
-    """Mask per leg, in catalogue order; of two legs on one row the later one counts."""
-    masks = []
-    for scenario in scenarios:
-        own = [_mask(leg, params) for leg in scenario.legs]
-        for i, mask in enumerate(own):
-            masks.append(reduce(lambda m, later: m & ~F.coalesce(later, F.lit(False)), own[i + 1:], mask))
-    return masks
-
-
-def _parameter_table(orders: DataFrame, scenarios: Sequence[Scenario], params: Column) -> DataFrame:
-    """One row per leg: the catalogue, with data-driven parameters filled in."""
-    legs = [(n, scenario, leg) for n, scenario in enumerate(scenarios) for leg in scenario.legs]
-    rows = [
-        F.struct(
-            F.lit(i).alias("leg"),
-            F.lit(n).alias("scenario"),
-            _value(leg.discount, params).alias("new_discount"),
-            F.lit(leg.cut).cast("double").alias("cut"),
-            F.lit(leg.growth).cast("double").alias("growth"),
-            F.lit(leg.response).cast("double").alias("response"),
-        )
-        for i, (n, _, leg) in enumerate(legs)
-    ]
-    return orders.sparkSession.range(1).select(F.inline(F.array(*rows)))
+def _selections(scenarios: Sequence[Scenario]) -> tuple[list[Column], list[tuple]]:
+    """Distinct row selections, and one row per leg naming the one it uses.
 
+    Legs with the same rows share a selection. Of two legs of a scenario on one
+    row the later one counts.
+    """
+    places, masks, legs = {}, [], []
+    for n, scenario in enumerate(scenarios):
+        for i, leg in enumerate(scenario.legs):
+            later = scenario.legs[i + 1:]
+            key = repr([(x.where, x.above) for x in (leg, *later)])
+            if key not in places:
+                places[key] = len(masks)
+                excluded = [~F.coalesce(_mask(x), F.lit(False)) for x in later]
+                masks.append(reduce(lambda a, b: a & b, excluded, _mask(leg)))
+            numbers = (leg.discount, leg.cut, leg.growth, leg.response)
+            legs.append((places[key], n, *[None if x is None else float(x) for x in numbers]))
+    return masks, legs
 
-def _labels(orders: DataFrame, scenarios: Sequence[Scenario], params: Column) -> DataFrame:
-    """One row per scenario: number, opportunity, sim_type."""
 
-    def label(scenario: Scenario) -> Column:
-        if scenario.shown is None:
-            return F.lit(scenario.label)
-        shown = F.format_string("%.0f", dbl(params[scenario.shown]))
-        before, after = scenario.label.split("{}")
-        return F.concat(F.lit(before), F.coalesce(shown, F.lit("n/a")), F.lit(after))
+LEG_COLUMNS = "selection int, scenario int, discount double, cut double, growth double, response double"
 
-    rows = [
-        F.struct(
-            F.lit(n).alias("scenario"), label(s).alias("opportunity"), F.lit(s.sim_type).alias("sim_type")
-        )
-        for n, s in enumerate(scenarios)
-    ]
-    return orders.sparkSession.range(1).select(F.inline(F.array(*rows)))
 
-
-def _sums(orders: DataFrame, scenarios: Sequence[Scenario], params: Column) -> DataFrame:
+def _sums(orders: DataFrame, scenarios: Sequence[Scenario]) -> DataFrame:
     """Per scenario, sums over the rows it selects, before and after."""
-    hits = [F.when(mask, F.lit(i)) for i, mask in enumerate(_leg_masks(scenarios, params))]
-    matched = orders.select(
+    masks, legs = _selections(scenarios)
+    hits = [F.when(mask, F.lit(i)) for i, mask in enumerate(masks)]
+    selected = orders.select(
         "base_price", "discount_percent", "final_price", "units_sold", "revenue",
-        F.explode(F.array_compact(F.array(*hits))).alias("leg"),
+        F.explode(F.array_compact(F.array(*hits))).alias("selection"),
     )
-    # One row per leg of the catalogue: its length is known here, so it may be broadcast.
-    legs = F.broadcast(_parameter_table(orders, scenarios, params))
-    new = reprice(F.col("new_discount"), F.col("cut"), F.col("growth"), F.col("response"))
+    # One row per leg of the catalogue, so it may be broadcast.
+    parameters = F.broadcast(orders.sparkSession.createDataFrame(legs, LEG_COLUMNS))
+    new = reprice(F.col("discount"), F.col("cut"), F.col("growth"), F.col("response"))
     return (
-        matched.join(legs, "leg")
+        selected.join(parameters, "selection")
         .select(
             "scenario", "revenue", "units_sold",
             (F.col("discount_percent") * F.col("units_sold")).alias("weighted"),
@@ -186,14 +181,23 @@ def _sums(orders: DataFrame, scenarios: Sequence[Scenario], params: Column) -> D
     )
 
 
-def run(orders: DataFrame, scenarios: Sequence[Scenario], params: Column) -> DataFrame:
+def run(
+    orders: DataFrame,
+    scenarios: Sequence[Scenario],
+    total_revenue: Decimal,
+    params: Mapping[str, Number | None] | None = None,
+) -> DataFrame:
     """One result row per scenario, also for one that selects no row.
 
-    `params` is a struct column: the data-driven parameters and total_revenue,
-    the revenue of all orders.
+    total_revenue is that of all orders; params holds data-driven parameters.
     """
-    sums = _sums(orders, scenarios, params)
-    rows = F.broadcast(_labels(orders, scenarios, params)).join(sums, "scenario", "left")
+    filled = [fill(s, params or {}) for s in scenarios]
+    labels = orders.sparkSession.createDataFrame(
+        [(n, s.label, s.sim_type) for n, s in enumerate(filled)],
+        "scenario int, opportunity string, sim_type string",
+    )
+    # One row per scenario at most.
+    rows = labels.join(F.broadcast(_sums(orders, filled)), "scenario", "left")
 
     def amount(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(0))
@@ -201,7 +205,7 @@ def run(orders: DataFrame, scenarios: Sequence[Scenario], params: Column) -> Dat
     def average(num: Column, den: Column) -> Column:
         return F.when(den > 0, ratio(num, den)).otherwise(0.0)
 
-    total = params["total_revenue"]
+    total = F.lit(total_revenue)
     delta = amount("new_revenue") - amount("revenue")
     units, new_units = amount("units"), amount("new_units")
     unit_delta = new_units - units

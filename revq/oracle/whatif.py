@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from revq.oracle.parts import BRACKET, WHATIF_AGE, div, even, query, rnd
+from revq.oracle.parts import BRACKET, WHATIF_AGE, div, even, query
 
 STATES = "('NATION_3', 'NATION_11', 'NATION_20')"
 
@@ -139,9 +139,9 @@ def _results() -> str:
 def _row_query(where: str, new: tuple[str, str, str]) -> str:
     discount, price, units = new
     names = ("discount_percent", "final_price", "units_sold", "revenue")
-    values = ("nd", "np", "nu", "np * nu")
-    body = f"""SELECT order_id, {', '.join(f'{rnd(v, 6)} AS {n}' for n, v in zip(names, values))} FROM (
-        SELECT order_id, CASE WHEN hit THEN {discount} ELSE d END AS nd,
+    values = ("nd", "np", "nu", "CASE WHEN hit THEN np * nu ELSE cast(revenue AS double) END")
+    body = f"""SELECT order_id, {', '.join(f'{v} AS {n}' for n, v in zip(names, values))} FROM (
+        SELECT order_id, hit, revenue, CASE WHEN hit THEN {discount} ELSE d END AS nd,
         CASE WHEN hit THEN {price} ELSE price END AS np, CASE WHEN hit THEN {units} ELSE u END AS nu
         FROM (SELECT *, {where} AS hit FROM w))"""
     return query("order_id discount_percent:d final_price:d units_sold:d revenue:d", body, ROWS, over="stg")

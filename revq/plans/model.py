@@ -25,13 +25,13 @@ NATURAL_KEYS = (
     "order_date", "state", "category", "brand_type", "customer_gender", "customer_age", "sales_event",
 )
 
-# Dimension -> its natural key, as dimension columns.
-DIMENSION_KEYS = {
-    "dim_date": ("full_date",),
-    "dim_state": ("state_name",),
-    "dim_product": ("category", "brand_type"),
-    "dim_customer_demo": ("customer_gender", "customer_age"),
-    "dim_event": ("sales_event",),
+# Dimension -> schema, its id first, and natural key in the order ids are given.
+DIMENSIONS = {
+    "dim_date": (DIM_DATE, ("full_date",)),
+    "dim_state": (DIM_STATE, ("state_name",)),
+    "dim_product": (DIM_PRODUCT, ("category", "brand_type")),
+    "dim_customer_demo": (DIM_CUSTOMER_DEMO, ("customer_age", "customer_gender")),
+    "dim_event": (DIM_EVENT, ("sales_event",)),
 }
 
 RULES = {
@@ -82,110 +82,97 @@ def enrich(staging: DataFrame) -> DataFrame:
     )
 
 
-def _with_id(keys: DataFrame, name: str, order: tuple[str, ...]) -> DataFrame:
-    """Number a dimension by its natural key, so that ids repeat from run to run."""
-    numbered = with_global_ranks(keys, numbers={name: [(k, "asc") for k in order]})
-    return numbered.withColumn(name, F.col(name).cast("int"))
+def _numbered(name: str, keys: DataFrame, total: int | None = None) -> DataFrame:
+    """A dimension from its distinct natural keys, numbered in their order.
 
-
-def _date_rows(dates: DataFrame) -> DataFrame:
-    date = F.col("full_date")
-    rows = dates.select(
-        "full_date",
-        F.year(date).alias("year"),
-        F.month(date).alias("month"),
-        F.date_format(date, "MMM").alias("month_name"),
-        F.quarter(date).alias("quarter"),
-        F.trunc(date, "MM").alias("month_start"),
-    )
-    return _with_id(rows, "date_id", ("full_date",)).select(DIM_DATE.names)
-
-
-def _demo_rows(demos: DataFrame) -> DataFrame:
-    rows = demos.withColumn("customer_age_group", age_group(F.col("customer_age")))
-    numbered = _with_id(rows, "customer_demo_id", ("customer_age", "customer_gender"))
-    return numbered.select(DIM_CUSTOMER_DEMO.names)
+    Ids repeat from run to run. `total` as for `with_global_ranks`.
+    """
+    schema, order = DIMENSIONS[name]
+    id_column = schema.names[0]
+    ranked = with_global_ranks(
+        keys, numbers={id_column: [(k, "asc") for k in order]}, total=total
+    ).withColumn(id_column, F.col(id_column).cast("int"))
+    if name == "dim_date":
+        date = F.col("full_date")
+        ranked = ranked.withColumns(
+            {
+                "year": F.year(date),
+                "month": F.month(date),
+                "month_name": F.date_format(date, "MMM"),
+                "quarter": F.quarter(date),
+                "month_start": F.trunc(date, "MM"),
+            }
+        )
+    if name == "dim_customer_demo":
+        ranked = ranked.withColumn("customer_age_group", age_group(F.col("customer_age")))
+    return ranked.select(schema.names)
 
 
-def _state_rows(places: DataFrame) -> DataFrame:
-    """`places` holds distinct (state_name, zone); the last zone by name counts."""
-    rows = places.groupBy("state_name").agg(F.max("zone").alias("zone"))
-    return _with_id(rows, "state_id", ("state_name",)).select(DIM_STATE.names)
+def _one_zone(places: DataFrame) -> DataFrame:
+    """Of a state named with several zones the last by name counts."""
+    return places.groupBy("state_name").agg(F.max("zone").alias("zone"))
 
 
 def dim_date(staging: DataFrame) -> DataFrame:
     """One row per order date."""
-    return _date_rows(staging.select(F.col("order_date").alias("full_date")).dropna().distinct())
+    dates = staging.select(F.col("order_date").alias("full_date"))
+    return _numbered("dim_date", dates.dropna().distinct())
 
 
 def dim_state(staging: DataFrame) -> DataFrame:
     """One row per state, with one zone."""
-    places = staging.select(F.col("state").alias("state_name"), "zone").distinct()
-    return _state_rows(places.dropna(subset=["state_name"]))
+    places = staging.select(F.col("state").alias("state_name"), "zone")
+    return _numbered("dim_state", _one_zone(places.dropna(subset=["state_name"]).distinct()))
 
 
 def dim_product(staging: DataFrame) -> DataFrame:
     """One row per category and brand type."""
-    rows = staging.select("category", "brand_type").dropna().distinct()
-    return _with_id(rows, "product_id", ("category", "brand_type")).select(DIM_PRODUCT.names)
+    return _numbered("dim_product", staging.select("category", "brand_type").dropna().distinct())
 
 
 def dim_customer_demo(staging: DataFrame) -> DataFrame:
     """One row per gender and age."""
-    return _demo_rows(staging.select("customer_gender", "customer_age").dropna().distinct())
+    demos = staging.select("customer_gender", "customer_age")
+    return _numbered("dim_customer_demo", demos.dropna().distinct())
 
 
 def dim_event(staging: DataFrame) -> DataFrame:
     """One row per sales event."""
-    rows = staging.select("sales_event").dropna().distinct()
-    return _with_id(rows, "event_id", ("sales_event",)).select(DIM_EVENT.names)
+    return _numbered("dim_event", staging.select("sales_event").dropna().distinct())
 
 
-def _dimensions_in_one_pass(staging: DataFrame) -> dict[str, DataFrame]:
+def dimensions(staging: DataFrame) -> dict[str, DataFrame]:
     """All five dimensions from one scan of the orders.
 
     Each order yields its five natural keys; duplicates fall away inside the
     scanning tasks, so only a few keys per task are shuffled.
     """
-
-    def key(dim: str, first: str, second: str | None = None):
-        return F.struct(
-            F.lit(dim).alias("dim"),
-            F.col(first).cast("string").alias("a"),
-            (F.col(second).cast("string") if second else F.lit(None).cast("string")).alias("b"),
-        )
-
-    pairs = F.array(
-        key("dim_date", "order_date"),
-        key("dim_state", "state", "zone"),
-        key("dim_product", "category", "brand_type"),
-        key("dim_customer_demo", "customer_gender", "customer_age"),
-        key("dim_event", "sales_event"),
+    keys = materialise(
+        staging.selectExpr(
+            """stack(5,
+              'dim_date', cast(order_date AS string), cast(null AS string),
+              'dim_state', state, zone,
+              'dim_product', category, brand_type,
+              'dim_customer_demo', customer_gender, cast(customer_age AS string),
+              'dim_event', sales_event, cast(null AS string)) AS (dim, a, b)"""
+        ).distinct()
     )
-    keys = materialise(staging.select(F.inline(pairs)).distinct())
+    # Five rows; at most this many rows are in each dimension.
+    sizes = {row["dim"]: row["count"] for row in keys.groupBy("dim").count().collect()}
 
-    def of(dim: str, first: str, second: str | None = None) -> DataFrame:
-        rows = keys.where((F.col("dim") == dim) & F.col("a").isNotNull())
-        if second is None:
-            return rows.select(F.col("a").alias(first))
-        return rows.select(F.col("a").alias(first), F.col("b").alias(second))
+    def of(name: str, *columns: str) -> DataFrame:
+        rows = keys.where(F.col("dim") == name).selectExpr(*columns)
+        rows = _one_zone(rows.dropna(subset=["state_name"])) if name == "dim_state" else rows.dropna()
+        return _numbered(name, rows, sizes.get(name, 0))
 
-    products = of("dim_product", "category", "brand_type").dropna()
-    demos = of("dim_customer_demo", "customer_gender", "customer_age").dropna()
     return {
-        "dim_date": _date_rows(
-            of("dim_date", "full_date").select(F.col("full_date").cast("date").alias("full_date"))
-        ),
-        "dim_state": _state_rows(of("dim_state", "state_name", "zone")),
-        "dim_product": _with_id(products, "product_id", ("category", "brand_type")).select(
-            DIM_PRODUCT.names
-        ),
-        "dim_customer_demo": _demo_rows(
-            demos.withColumn("customer_age", F.col("customer_age").cast("int"))
-        ),
-        "dim_event": _with_id(of("dim_event", "sales_event"), "event_id", ("sales_event",)).select(
-            DIM_EVENT.names
+        "dim_date": of("dim_date", "cast(a AS date) AS full_date"),
+        "dim_state": of("dim_state", "a AS state_name", "b AS zone"),
+        "dim_product": of("dim_product", "a AS category", "b AS brand_type"),
+        "dim_customer_demo": of(
+            "dim_customer_demo", "a AS customer_gender", "cast(b AS int) AS customer_age"
         ),
+        "dim_event": of("dim_event", "a AS sales_event"),
     }
 
 
@@ -195,14 +182,14 @@ def fact_orders(staging: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     Spark broadcasts the dimensions it finds small enough.
     """
     rows = staging.withColumnRenamed("state", "state_name").withColumnRenamed("order_date", "full_date")
-    for name, keys in DIMENSION_KEYS.items():
-        rows = rows.join(dims[name].select(dims[name].columns[0], *keys), list(keys))
+    for name, (schema, keys) in DIMENSIONS.items():
+        rows = rows.join(dims[name].select(schema.names[0], *keys), list(keys))
     return rows.select(FACT_ORDERS.names)
 
 
 def star(staging: DataFrame) -> dict[str, DataFrame]:
     """The five dimensions and the fact table."""
-    dims = _dimensions_in_one_pass(staging)
+    dims = dimensions(staging)
     return dims | {"fact_orders": fact_orders(staging, dims)}
 
 
@@ -215,8 +202,8 @@ def write_star(tables: dict[str, DataFrame], folder: str) -> None:
 def rejoin(tables: dict[str, DataFrame]) -> DataFrame:
     """Staging rows from a star schema, each with the zone of its state."""
     rows = tables["fact_orders"]
-    for name in DIMENSION_KEYS:
-        rows = rows.join(tables[name], tables[name].columns[0])
+    for name, (schema, _) in DIMENSIONS.items():
+        rows = rows.join(tables[name], schema.names[0])
     return rows.withColumnsRenamed({"state_name": "state", "full_date": "order_date"})
 
 

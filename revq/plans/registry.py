@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revq.functions.numeric import rnd
 from revq.plans import adhoc, model, procedures, views, whatif
 from revq.sources.tables import stg_orders
 
@@ -47,9 +46,8 @@ VIEWS = {
 
 
 def _rows(changed: DataFrame) -> DataFrame:
-    """The columns a repricing changes, rounded to the scale its sums use."""
-    names = ("discount_percent", "final_price", "units_sold", "revenue")
-    return changed.select("order_id", *[rnd(F.col(n), 6).alias(n) for n in names])
+    """The columns a repricing changes, unrounded."""
+    return changed.select("order_id", "discount_percent", "final_price", "units_sold", "revenue")
 
 
 def _mass_cap(orders: DataFrame) -> DataFrame:

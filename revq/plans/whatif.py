@@ -176,8 +176,9 @@ def catalogue(lower_tier_states: Sequence[str] = LOWER_TIER_STATES) -> list[Scen
 def results(orders: DataFrame, scenarios: Sequence[Scenario] | None = None) -> DataFrame:
     """One row per scenario, from two scans: parameters first, then all scenarios."""
     rows = whatif_orders(orders)
-    params = parameters(rows).select(F.struct("*")).scalar()
-    return run(rows, catalogue() if scenarios is None else scenarios, params)
+    params = parameters(rows).first().asDict()
+    total = params.pop("total_revenue")
+    return run(rows, catalogue() if scenarios is None else scenarios, total, params)
 
 
 def ranked(result: DataFrame) -> DataFrame:

@@ -9,113 +9,83 @@ adaptive execution splits a hot key of the sort-merge join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Product type -> category; every other type is 'Other'.
-CATEGORIES = {
-    "ECONOMY": "Electronics",
-    "LARGE": "Home & Living",
-    "MEDIUM": "Footwear",
-    "PROMO": "Premium Lifestyle",
-    "SMALL": "Grocery Essentials",
-}
-
-
-def _category(product_type: Column) -> Column:
-    named = [F.when(product_type == k, F.lit(v)) for k, v in CATEGORIES.items()]
-    return F.coalesce(*named, F.lit("Other"))
+from revq.schema import STG_ORDERS
 
+# Columns read of each table; declared, so that no job is spent on inferring them.
+COLUMNS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "part": "p_partkey bigint, p_brand string, p_type string",
+}
 
-def _discount(discount: Column, tax: Column) -> Column:
-    whole = F.round(discount * 100).cast("int") * 6
-    part = F.round(tax * 100).cast("int") * F.lit("1.25").cast("decimal(3,2)")
-    return (whole + part).cast("decimal(5,2)")
+PRODUCTS = (
+    "p_partkey",
+    """CASE p_type WHEN 'ECONOMY' THEN 'Electronics' WHEN 'LARGE' THEN 'Home & Living'
+       WHEN 'MEDIUM' THEN 'Footwear' WHEN 'PROMO' THEN 'Premium Lifestyle'
+       WHEN 'SMALL' THEN 'Grocery Essentials' ELSE 'Other' END AS category""",
+    "if(cast(substr(p_brand, 7) AS int) % 4 = 0, 'Premium', 'Mass') AS brand_type",
+)
+BUYERS = (
+    "c_custkey",
+    "n_name AS state",
+    "r_name AS zone",
+    "if(c_custkey % 2 = 0, 'Female', 'Male') AS customer_gender",
+    "cast(18 + c_custkey % 60 AS int) AS customer_age",
+)
+HEADERS = (
+    "o_orderkey",
+    "cast(o_orderdate AS date) AS order_date",
+    "state",
+    "zone",
+    "customer_gender",
+    "customer_age",
+    """CASE WHEN o_orderpriority < '3' THEN 'High' WHEN o_orderpriority < '4' THEN 'Medium'
+       ELSE 'Low' END AS competition_intensity""",
+    """CASE o_orderstatus WHEN 'F' THEN 'High' WHEN 'P' THEN 'Medium'
+       ELSE 'Low' END AS inventory_pressure""",
+)
+LINES = (
+    "l_orderkey",
+    "l_partkey",
+    "concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS order_id",
+    "cast(l_extendedprice AS decimal(10,2)) AS base_price",
+    """cast(cast(round(l_discount * 100) AS int) * 6
+       + cast(round(l_tax * 100) AS int) * 1.25BD AS decimal(5,2)) AS discount_percent""",
+    "cast(l_quantity AS int) AS units_sold",
+    "if(l_returnflag = 'R', 'Festival', 'Normal') AS sales_event",
+)
+FINAL_PRICE = "cast(base_price * (100 - discount_percent) * 0.01BD AS decimal(10,2))"
+REVENUE = "cast(final_price * units_sold AS decimal(12,2))"
 
 
 def stg_orders(spark: SparkSession, folder: str) -> DataFrame:
     """One staging row per line item, from the parquet tables in `folder`."""
 
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
-    places = (
-        read("nation")
-        .join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select("n_nationkey", F.col("n_name").alias("state"), F.col("r_name").alias("zone"))
-    )
     buyers = (
         read("customer")
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            "c_custkey",
-            "state",
-            "zone",
-            F.when(F.col("c_custkey") % 2 == 0, "Female").otherwise("Male").alias("customer_gender"),
-            (18 + F.col("c_custkey") % 60).cast("int").alias("customer_age"),
-        )
-    )
-    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    headers = (
-        read("orders")
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-        .select(
-            "o_orderkey",
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            "state",
-            "zone",
-            "customer_gender",
-            "customer_age",
-            F.when(priority < "3", "High")
-            .when(priority < "4", "Medium")
-            .otherwise("Low")
-            .alias("competition_intensity"),
-            F.when(status == "F", "High")
-            .when(status == "P", "Medium")
-            .otherwise("Low")
-            .alias("inventory_pressure"),
-        )
-    )
-    products = read("part").select(
-        "p_partkey",
-        _category(F.col("p_type")).alias("category"),
-        F.when(F.substring("p_brand", 7, 100).cast("int") % 4 == 0, "Premium")
-        .otherwise("Mass")
-        .alias("brand_type"),
-    )
-    lines = read("lineitem").select(
-        "l_orderkey",
-        "l_partkey",
-        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias(
-            "order_id"
-        ),
-        F.col("l_extendedprice").cast("decimal(10,2)").alias("base_price"),
-        _discount(F.col("l_discount"), F.col("l_tax")).alias("discount_percent"),
-        F.col("l_quantity").cast("int").alias("units_sold"),
-        F.when(F.col("l_returnflag") == "R", "Festival").otherwise("Normal").alias("sales_event"),
+        .join(read("nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(read("region"), F.expr("n_regionkey = r_regionkey"))
+        .selectExpr(*BUYERS)
     )
-    paid = F.col("base_price") * (100 - F.col("discount_percent")) * F.lit("0.01").cast("decimal(3,2)")
+    headers = read("orders").join(buyers, F.expr("o_custkey = c_custkey")).selectExpr(*HEADERS)
+    products = read("part").selectExpr(*PRODUCTS)
     return (
-        lines.join(products, F.col("l_partkey") == F.col("p_partkey"))
-        .join(headers, F.col("l_orderkey") == F.col("o_orderkey"))
-        .withColumn("final_price", paid.cast("decimal(10,2)"))
-        .withColumn("revenue", (F.col("final_price") * F.col("units_sold")).cast("decimal(12,2)"))
-        .select(
-            "order_id",
-            "order_date",
-            "state",
-            "zone",
-            "category",
-            "brand_type",
-            "customer_gender",
-            "customer_age",
-            "base_price",
-            "discount_percent",
-            "final_price",
-            "units_sold",
-            "revenue",
-            "sales_event",
-            "competition_intensity",
-            "inventory_pressure",
-        )
+        read("lineitem")
+        .selectExpr(*LINES)
+        .join(products, F.expr("l_partkey = p_partkey"))
+        .join(headers, F.expr("l_orderkey = o_orderkey"))
+        .withColumn("final_price", F.expr(FINAL_PRICE))
+        .withColumn("revenue", F.expr(REVENUE))
+        .select(STG_ORDERS.names)
     )
