@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revq.functions.labels import age_group, discount_band
 from revq.operators.constraints import TableRules, violations
-from revq.operators.ranking import with_global_ranks
+from revq.operators.ranking import SINGLE_TASK_ROWS, with_global_ranks
 from revq.schema import (
     DIM_CUSTOMER_DEMO,
     DIM_DATE,
@@ -65,21 +65,20 @@ def enrich(staging: DataFrame) -> DataFrame:
     """
     require_columns(staging)
     date = F.col("order_date")
-    return (
-        staging.dropna(subset=list(NATURAL_KEYS))
-        .withColumnRenamed("state", "state_name")
-        .withColumns(
-            {
-                "year": F.year(date),
-                "month": F.month(date),
-                "month_name": F.date_format(date, "MMM"),
-                "quarter": F.quarter(date),
-                "month_start": F.trunc(date, "MM"),
-                "customer_age_group": age_group(F.col("customer_age")),
-                "discount_band": discount_band(F.col("discount_percent")),
-            }
-        )
-    )
+    added = {
+        "year": F.year(date),
+        "month": F.month(date),
+        "month_name": F.date_format(date, "MMM"),
+        "quarter": F.quarter(date),
+        "month_start": F.trunc(date, "MM"),
+        "customer_age_group": age_group(F.col("customer_age")),
+        "discount_band": discount_band(F.col("discount_percent")),
+    }
+    if "month_start" in staging.columns:
+        # The order table is stored by month: a filter on it then skips folders.
+        del added["month_start"]
+    rows = staging.dropna(subset=list(NATURAL_KEYS)).withColumnRenamed("state", "state_name")
+    return rows.withColumns(added)
 
 
 def _numbered(name: str, keys: DataFrame, total: int | None = None) -> DataFrame:
@@ -163,7 +162,9 @@ def dimensions(staging: DataFrame) -> dict[str, DataFrame]:
     def of(name: str, *columns: str) -> DataFrame:
         rows = keys.where(F.col("dim") == name).selectExpr(*columns)
         rows = _one_zone(rows.dropna(subset=["state_name"])) if name == "dim_state" else rows.dropna()
-        return _numbered(name, rows, sizes.get(name, 0))
+        size = sizes.get(name, 0)
+        numbered = _numbered(name, rows, size)
+        return F.broadcast(numbered) if size <= SINGLE_TASK_ROWS else numbered
 
     return {
         "dim_date": of("dim_date", "cast(a AS date) AS full_date"),
@@ -179,7 +180,8 @@ def dimensions(staging: DataFrame) -> dict[str, DataFrame]:
 def fact_orders(staging: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Staging rows with dimension ids; a row without a match drops out.
 
-    Spark broadcasts the dimensions it finds small enough.
+    Dimensions counted to be small carry a broadcast hint; of others, such as
+    tables read from files, Spark broadcasts those below the session's threshold.
     """
     rows = staging.withColumnRenamed("state", "state_name").withColumnRenamed("order_date", "full_date")
     for name, (schema, keys) in DIMENSIONS.items():

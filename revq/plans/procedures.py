@@ -35,9 +35,9 @@ def refresh_monthly_summary(
     """
     if years is not None:
         first, last = f"{min(years)}-01-01", f"{max(years)}-12-31"
-        orders = orders.where(F.col("order_date").between(first, last)).where(
-            F.col("year").isin(*years)
-        )
+        # On the stored order table the second filter skips the folders of other years.
+        orders = orders.where(F.col("order_date").between(first, last))
+        orders = orders.where(F.col("month_start").between(first, last) & F.col("year").isin(*years))
     # At most twelve rows per year: one file per folder.
     rows = monthly_summary(orders).repartition("year")
     writer = rows.write.mode("overwrite").partitionBy("year")
