@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from revq.session import materialise
 
-SINGLE_TASK_ROWS = 200_000
+SINGLE_TASK_ROWS = 1_000_000
 
 # Column name and direction, "asc" or "desc". NULLs come first ascending, last descending.
 Order = Sequence[tuple[str, str]]

@@ -21,8 +21,15 @@ from pyspark.sql import functions as F
 
 from revq.functions.numeric import dbl, ratio, rnd_even
 
-# Simulated amounts are rounded to this before they are summed.
-AMOUNT = "decimal(18,6)"
+
+def _millionths(x: Column) -> Column:
+    """A simulated amount as a whole number of millionths: sums of these are exact."""
+    return F.rint(x * 1e6).cast("bigint").cast("decimal(19,0)")
+
+
+def _sum_of_millionths(name: str) -> Column:
+    return F.sum(name) * F.lit("0.000001").cast("decimal(6,6)")
+
 
 
 @dataclass(frozen=True)
@@ -164,9 +171,9 @@ def _sums(orders: DataFrame, scenarios: Sequence[Scenario]) -> DataFrame:
         .select(
             "scenario", "revenue", "units_sold",
             (F.col("discount_percent") * F.col("units_sold")).alias("weighted"),
-            new["revenue"].cast(AMOUNT).alias("new_revenue"),
-            new["units_sold"].cast(AMOUNT).alias("new_units"),
-            (new["discount_percent"] * new["units_sold"]).cast(AMOUNT).alias("new_weighted"),
+            _millionths(new["revenue"]).alias("new_revenue"),
+            _millionths(new["units_sold"]).alias("new_units"),
+            _millionths(new["discount_percent"] * new["units_sold"]).alias("new_weighted"),
         )
         .groupBy("scenario")
         .agg(
@@ -174,9 +181,9 @@ def _sums(orders: DataFrame, scenarios: Sequence[Scenario]) -> DataFrame:
             F.sum("revenue").alias("revenue"),
             F.sum("units_sold").alias("units"),
             F.sum("weighted").alias("weighted"),
-            F.sum("new_revenue").alias("new_revenue"),
-            F.sum("new_units").alias("new_units"),
-            F.sum("new_weighted").alias("new_weighted"),
+            _sum_of_millionths("new_revenue").alias("new_revenue"),
+            _sum_of_millionths("new_units").alias("new_units"),
+            _sum_of_millionths("new_weighted").alias("new_weighted"),
         )
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from revq.functions.labels import age_group, discount_band
 from revq.operators.constraints import TableRules, violations
-from revq.operators.ranking import SINGLE_TASK_ROWS, with_global_ranks
+from revq.operators.ranking import with_global_ranks
 from revq.schema import (
     DIM_CUSTOMER_DEMO,
     DIM_DATE,
@@ -25,6 +25,9 @@ NATURAL_KEYS = (
     "order_date", "state", "category", "brand_type", "customer_gender", "customer_age", "sales_event",
 )
 
+# Dimensions up to this many rows (a few MB) are sent to every executor.
+BROADCAST_ROWS = 100_000
+
 # Dimension -> schema, its id first, and natural key in the order ids are given.
 DIMENSIONS = {
     "dim_date": (DIM_DATE, ("full_date",)),
@@ -77,7 +80,9 @@ def enrich(staging: DataFrame) -> DataFrame:
     if "month_start" in staging.columns:
         # The order table is stored by month: a filter on it then skips folders.
         del added["month_start"]
-    rows = staging.dropna(subset=list(NATURAL_KEYS)).withColumnRenamed("state", "state_name")
+    # One test per column, so that each can reach the scan.
+    present = " AND ".join(f"{name} IS NOT NULL" for name in NATURAL_KEYS)
+    rows = staging.where(present).withColumnRenamed("state", "state_name")
     return rows.withColumns(added)
 
 
@@ -164,7 +169,7 @@ def dimensions(staging: DataFrame) -> dict[str, DataFrame]:
         rows = _one_zone(rows.dropna(subset=["state_name"])) if name == "dim_state" else rows.dropna()
         size = sizes.get(name, 0)
         numbered = _numbered(name, rows, size)
-        return F.broadcast(numbered) if size <= SINGLE_TASK_ROWS else numbered
+        return F.broadcast(numbered) if size <= BROADCAST_ROWS else numbered
 
     return {
         "dim_date": of("dim_date", "cast(a AS date) AS full_date"),

@@ -52,15 +52,24 @@ HEADERS = (
     """CASE o_orderstatus WHEN 'F' THEN 'High' WHEN 'P' THEN 'Medium'
        ELSE 'Low' END AS inventory_pressure""",
 )
+# Discount and tax are fractions of two digits: adding a half and cutting rounds them.
+# Multiples of 1.25 are exact in double.
 LINES = (
-    "l_orderkey",
-    "l_partkey",
     "concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS order_id",
+    "order_date",
+    "state",
+    "zone",
+    "category",
+    "brand_type",
+    "customer_gender",
+    "customer_age",
     "cast(l_extendedprice AS decimal(10,2)) AS base_price",
-    """cast(cast(round(l_discount * 100) AS int) * 6
-       + cast(round(l_tax * 100) AS int) * 1.25BD AS decimal(5,2)) AS discount_percent""",
+    """cast(cast(l_discount * 100 + 0.5D AS int) * 6
+       + cast(l_tax * 100 + 0.5D AS int) * 1.25D AS decimal(5,2)) AS discount_percent""",
     "cast(l_quantity AS int) AS units_sold",
     "if(l_returnflag = 'R', 'Festival', 'Normal') AS sales_event",
+    "competition_intensity",
+    "inventory_pressure",
 )
 FINAL_PRICE = "cast(base_price * (100 - discount_percent) * 0.01BD AS decimal(10,2))"
 REVENUE = "cast(final_price * units_sold AS decimal(12,2))"
@@ -80,11 +89,12 @@ def stg_orders(spark: SparkSession, folder: str) -> DataFrame:
     )
     headers = read("orders").join(buyers, F.expr("o_custkey = c_custkey")).selectExpr(*HEADERS)
     products = read("part").selectExpr(*PRODUCTS)
+    # Line items travel as they are stored; prices and ids are computed where they arrive.
     return (
         read("lineitem")
-        .selectExpr(*LINES)
         .join(products, F.expr("l_partkey = p_partkey"))
         .join(headers, F.expr("l_orderkey = o_orderkey"))
+        .selectExpr(*LINES)
         .withColumn("final_price", F.expr(FINAL_PRICE))
         .withColumn("revenue", F.expr(REVENUE))
         .select(STG_ORDERS.names)
