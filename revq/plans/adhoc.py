@@ -9,13 +9,13 @@ from revq.functions.labels import incentive_group, is_event, revenue_loss
 from revq.functions.numeric import mean, pct_change, ratio, rel_change, rnd
 from revq.operators.ranking import with_global_ranks
 from revq.plans.measures import (
-    AVG_DISCOUNT,
-    REALIZATION,
-    REVENUE_PER_ORDER,
-    REVENUE_PER_UNIT,
-    WEIGHTED_PRICE,
+    avg_discount,
     one_zone_per_state,
+    realization,
+    revenue_per_order,
+    revenue_per_unit,
     totals,
+    weighted_price,
 )
 
 EVENTS = ("festival", "normal")
@@ -81,7 +81,7 @@ def revenue_loss_by_band(orders: DataFrame) -> DataFrame:
 
 def _per_order_by_event(orders: DataFrame, keys: list[str]) -> DataFrame:
     by_event = totals(orders, [*keys, "sales_event"], "revenue", "transactions").withColumn(
-        "per_order", REVENUE_PER_ORDER
+        "per_order", revenue_per_order()
     )
     columns = []
     for event in EVENTS:
@@ -143,7 +143,7 @@ def festival_lift_and_discount(orders: DataFrame) -> DataFrame:
     """Festival lift per category, with the mean daily discount of both periods."""
     daily = totals(
         orders, ["category", "sales_event", "order_date"], "revenue", "discount_sum", "discount_rows"
-    ).withColumn("avg_discount", AVG_DISCOUNT)
+    ).withColumn("avg_discount", avg_discount())
     wide = _mean_by_event(
         daily, ["category"], avg_monthly_revenue=F.col("revenue"), avg_discount=F.col("avg_discount")
     )
@@ -171,9 +171,9 @@ def _band_performance(orders: DataFrame) -> DataFrame:
     )
     return sums.withColumns(
         {
-            "avg_discount_pct": AVG_DISCOUNT,
-            "revenue_per_transaction": REVENUE_PER_ORDER,
-            "revenue_per_unit": REVENUE_PER_UNIT,
+            "avg_discount_pct": avg_discount(),
+            "revenue_per_transaction": revenue_per_order(),
+            "revenue_per_unit": revenue_per_unit(),
             "units_per_transaction": ratio(F.col("units"), F.col("transactions")),
         }
     )
@@ -249,7 +249,7 @@ def cannibalisation(orders: DataFrame) -> DataFrame:
 def monthly_elasticity(orders: DataFrame) -> DataFrame:
     """Unit change over price change, month on month, per category."""
     monthly = totals(orders, ["month_start", "category"], "units", "net").withColumn(
-        "price", WEIGHTED_PRICE
+        "price", weighted_price()
     )
     by_month = Window.partitionBy("category").orderBy("month_start")
     units, price = F.col("units"), F.col("price")
@@ -278,9 +278,9 @@ def margin_risk_pockets(orders: DataFrame, top: int = 30) -> DataFrame:
         *keys,
         "revenue",
         "units",
-        rnd(AVG_DISCOUNT, 2).alias("avg_discount"),
-        rnd(REALIZATION, 3).alias("realization_ratio"),
-        rnd(REVENUE_PER_UNIT, 2).alias("revenue_per_unit"),
+        rnd(avg_discount(), 2).alias("avg_discount"),
+        rnd(realization(), 3).alias("realization_ratio"),
+        rnd(revenue_per_unit(), 2).alias("revenue_per_unit"),
     )
     ranked = with_global_ranks(
         segments,

@@ -46,12 +46,36 @@ def one_zone_per_state(grouped: DataFrame) -> DataFrame:
 
 
 # Read off the sums of a group.
-AVG_DISCOUNT = ratio(F.col("discount_sum"), F.col("discount_rows"))
-WEIGHTED_DISCOUNT = ratio(F.col("weighted_discount"), F.col("units"))
-WEIGHTED_PRICE = ratio(F.col("net"), F.col("units"))
-REALIZATION = ratio(F.col("net"), F.col("gross"))
-REVENUE_PER_UNIT = ratio(F.col("revenue"), F.col("units"))
-REVENUE_PER_ORDER = ratio(F.col("revenue"), F.col("transactions"))
-# Both sums are exact, so their difference is the sum of the differences.
-DISCOUNT_COST = F.col("gross") - F.col("net")
-DISCOUNT_COST_RATIO = ratio(DISCOUNT_COST, F.col("revenue"))
+
+
+def avg_discount() -> Column:
+    return ratio(F.col("discount_sum"), F.col("discount_rows"))
+
+
+def weighted_discount() -> Column:
+    return ratio(F.col("weighted_discount"), F.col("units"))
+
+
+def weighted_price() -> Column:
+    return ratio(F.col("net"), F.col("units"))
+
+
+def realization() -> Column:
+    return ratio(F.col("net"), F.col("gross"))
+
+
+def revenue_per_unit() -> Column:
+    return ratio(F.col("revenue"), F.col("units"))
+
+
+def revenue_per_order() -> Column:
+    return ratio(F.col("revenue"), F.col("transactions"))
+
+
+def discount_cost() -> Column:
+    """Both sums are exact, so their difference is the sum of the differences."""
+    return F.col("gross") - F.col("net")
+
+
+def discount_cost_ratio() -> Column:
+    return ratio(discount_cost(), F.col("revenue"))

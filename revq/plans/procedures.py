@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revq.functions.numeric import rnd
-from revq.plans.measures import AVG_DISCOUNT, totals
+from revq.plans.measures import avg_discount, totals
 from revq.schema import MONTHLY_SUMMARY
 
 
@@ -20,7 +20,7 @@ def monthly_summary(orders: DataFrame) -> DataFrame:
         *keys,
         F.col("revenue").cast("decimal(14,2)").alias("total_revenue"),
         F.col("units").alias("total_units"),
-        rnd(AVG_DISCOUNT, 2).cast("decimal(6,2)").alias("avg_discount"),
+        rnd(avg_discount(), 2).cast("decimal(6,2)").alias("avg_discount"),
     )
 
 
@@ -53,5 +53,5 @@ def state_performance(orders: DataFrame, state: str) -> DataFrame:
     chosen = orders.where(F.col("state_name") == state)
     sums = totals(chosen, keys, "revenue", "units", "discount_sum", "discount_rows")
     return sums.select(
-        *keys, "revenue", "units", rnd(AVG_DISCOUNT, 2).alias("avg_discount")
+        *keys, "revenue", "units", rnd(avg_discount(), 2).alias("avg_discount")
     ).orderBy("month_start")

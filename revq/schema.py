@@ -5,34 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-STG_ORDERS = T.StructType.fromDDL(
-    "order_id string, order_date date, state string, zone string, category string, "
-    "brand_type string, customer_gender string, customer_age int, "
-    "base_price decimal(10,2), discount_percent decimal(5,2), final_price decimal(10,2), "
-    "units_sold int, revenue decimal(12,2), sales_event string, "
-    "competition_intensity string, inventory_pressure string"
-)
+TEXT, INT, LONG, DATE = T.StringType(), T.IntegerType(), T.LongType(), T.DateType()
+PRICE, PERCENT, REVENUE = T.DecimalType(10, 2), T.DecimalType(5, 2), T.DecimalType(12, 2)
 
-DIM_DATE = T.StructType.fromDDL(
-    "date_id int, full_date date, year int, month int, month_name string, quarter int, "
-    "month_start date"
-)
-DIM_STATE = T.StructType.fromDDL("state_id int, state_name string, zone string")
-DIM_PRODUCT = T.StructType.fromDDL("product_id int, category string, brand_type string")
-DIM_CUSTOMER_DEMO = T.StructType.fromDDL(
-    "customer_demo_id int, customer_gender string, customer_age int, customer_age_group string"
-)
-DIM_EVENT = T.StructType.fromDDL("event_id int, sales_event string")
-FACT_ORDERS = T.StructType.fromDDL(
-    "order_id string, date_id int, state_id int, product_id int, customer_demo_id int, "
-    "event_id int, base_price decimal(10,2), discount_percent decimal(5,2), "
-    "final_price decimal(10,2), units_sold int, revenue decimal(12,2), "
-    "competition_intensity string, inventory_pressure string"
+
+def _table(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
+
+
+STG_ORDERS = _table(
+    order_id=TEXT, order_date=DATE, state=TEXT, zone=TEXT, category=TEXT, brand_type=TEXT,
+    customer_gender=TEXT, customer_age=INT, base_price=PRICE, discount_percent=PERCENT,
+    final_price=PRICE, units_sold=INT, revenue=REVENUE, sales_event=TEXT,
+    competition_intensity=TEXT, inventory_pressure=TEXT,
+)
+DIM_DATE = _table(
+    date_id=INT, full_date=DATE, year=INT, month=INT, month_name=TEXT, quarter=INT, month_start=DATE
 )
-MONTHLY_SUMMARY = T.StructType.fromDDL(
-    "year int, month int, month_start date, total_revenue decimal(14,2), total_units bigint, "
-    "avg_discount decimal(6,2)"
+DIM_STATE = _table(state_id=INT, state_name=TEXT, zone=TEXT)
+DIM_PRODUCT = _table(product_id=INT, category=TEXT, brand_type=TEXT)
+DIM_CUSTOMER_DEMO = _table(
+    customer_demo_id=INT, customer_gender=TEXT, customer_age=INT, customer_age_group=TEXT
 )
+DIM_EVENT = _table(event_id=INT, sales_event=TEXT)
+FACT_ORDERS = _table(
+    order_id=TEXT, date_id=INT, state_id=INT, product_id=INT, customer_demo_id=INT, event_id=INT,
+    base_price=PRICE, discount_percent=PERCENT, final_price=PRICE, units_sold=INT, revenue=REVENUE,
+    competition_intensity=TEXT, inventory_pressure=TEXT,
+)
+MONTHLY_SUMMARY = _table(
+    year=INT, month=INT, month_start=DATE, total_revenue=T.DecimalType(14, 2), total_units=LONG,
+    avg_discount=T.DecimalType(6, 2),
+)
 
 
 def require_columns(df: DataFrame, schema: T.StructType = STG_ORDERS) -> DataFrame:

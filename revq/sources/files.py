@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revq.schema import STG_ORDERS, require_columns
 
@@ -51,8 +52,7 @@ def write_orders(orders: DataFrame, path: str) -> None:
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
     """The order table written by `write_orders`; months prune to folders."""
-    columns = f"{STG_ORDERS.toDDL()}, month_start date"
-    return spark.read.schema(columns).parquet(path)
+    return spark.read.schema(T.StructType(STG_ORDERS.fields).add("month_start", "date")).parquet(path)
 
 
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
