@@ -52,7 +52,8 @@ def write_orders(orders: DataFrame, path: str) -> None:
 
 def read_orders(spark: SparkSession, path: str) -> DataFrame:
     """The order table written by `write_orders`; months prune to folders."""
-    return spark.read.schema(T.StructType(STG_ORDERS.fields).add("month_start", "date")).parquet(path)
+    by_month = T.StructType([*STG_ORDERS, T.StructField("month_start", T.DateType())])
+    return spark.read.schema(by_month).parquet(path)
 
 
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:

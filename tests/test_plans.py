@@ -1,0 +1,65 @@
+"""What the physical plans must and must not hold."""
+
+import re
+
+import pytest
+from conftest import SMALL
+from pyspark.sql import functions as F
+
+from revq.plans import adhoc, measures, model, procedures, registry, views, whatif
+from revq.sources import files
+from revq.sources.tables import stg_orders
+
+
+def plan(df):
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", registry.queries())
+def test_no_python_and_no_cross_join(spark, name):
+    text = plan(registry.queries()[name](spark, SMALL))
+    for node in ("EvalPython", "PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin"):
+        assert node not in text
+    if name != "D07_constraint_report":
+        assert len(re.findall(r"FileScan parquet \[l_", text)) <= 1
+
+
+def test_orders_are_aggregated_by_hash(spark):
+    orders = model.enrich(stg_orders(spark, SMALL))
+    for df in (
+        measures.totals(orders, ["state_name", "zone"], "revenue", "units", "gross", "net"),
+        adhoc.cannibalisation(orders),
+        views.risk_adjusted_performance(orders),
+    ):
+        assert "SortAggregate" not in plan(df)
+
+
+def test_scan_is_pruned(spark, small_staging):
+    text = plan(adhoc.revenue_loss_by_band(model.enrich(small_staging)))
+    (read,) = re.findall(r"ReadSchema: struct<(.*)>", text)
+    assert "competition_intensity" not in read and "order_id" not in read and "zone" not in read
+
+
+def test_state_filter_reaches_the_scan(small_staging):
+    text = plan(procedures.state_performance(model.enrich(small_staging), "NATION_3"))
+    assert "EqualTo(state,NATION_3)" in text
+
+
+def test_month_filter_prunes_folders(spark, small_staging, tmp_path):
+    path = str(tmp_path / "orders")
+    files.write_orders(small_staging, path)
+    orders = model.enrich(files.read_orders(spark, path))
+    text = plan(views.state_growth(orders.where(F.col("month_start") == "1996-01-01")))
+    assert re.search(r"PartitionFilters: \[[^\]]*month_start", text)
+
+
+def test_scenarios_scan_orders_once_and_shuffle_only_sums(small_orders):
+    text = plan(whatif.results(small_orders, whatif.catalogue()))
+    assert text.count("FileScan parquet") == 1
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
+
+
+def test_risk_stages_share_one_placement(small_orders):
+    text = plan(views.risk_adjusted_performance(small_orders))
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 2
