@@ -16,7 +16,7 @@ from decimal import Decimal
 from functools import reduce
 from numbers import Number
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revq.functions.numeric import dbl, ratio, rnd_even
@@ -152,25 +152,41 @@ def _selections(scenarios: Sequence[Scenario]) -> tuple[list[Column], list[tuple
     return masks, legs
 
 
-LEG_COLUMNS = "selection int, scenario int, discount double, cut double, growth double, response double"
+def _leg_table(spark: SparkSession, legs: list[tuple]) -> DataFrame:
+    """The legs as an inline table, which costs no job to read."""
+
+    def literal(x: float | int | None) -> str:
+        return "null" if x is None else f"{x!r}D" if isinstance(x, float) else str(x)
+
+    # A row of no selection gives the columns their types, also for an empty catalogue.
+    rows = ["(-1, -1, 0D, 0D, 0D, 0D)", *[f"({', '.join(map(literal, leg))})" for leg in legs]]
+    return spark.sql(
+        f"SELECT * FROM VALUES {', '.join(rows)} "
+        "AS legs (selection, scenario, discount, cut, growth, response)"
+    )
 
 
 def _sums(orders: DataFrame, scenarios: Sequence[Scenario]) -> DataFrame:
     """Per scenario, sums over the rows it selects, before and after."""
     masks, legs = _selections(scenarios)
-    hits = [F.when(mask, F.lit(i)) for i, mask in enumerate(masks)]
-    selected = orders.select(
-        "base_price", "discount_percent", "final_price", "units_sold", "revenue",
-        F.explode(F.array_compact(F.array(*hits))).alias("selection"),
+    # What does not depend on the scenario is computed before rows are repeated.
+    once = orders.select(
+        "revenue",
+        "units_sold",
+        (F.col("discount_percent") * F.col("units_sold")).alias("weighted"),
+        *[dbl(F.col(c)).alias(c) for c in ("base_price", "discount_percent", "final_price")],
+        F.array_compact(
+            F.array(*[F.when(mask, F.lit(i)) for i, mask in enumerate(masks)])
+        ).alias("selections"),
     )
+    selected = once.withColumn("selection", F.explode("selections"))
     # One row per leg of the catalogue, so it may be broadcast.
-    parameters = F.broadcast(orders.sparkSession.createDataFrame(legs, LEG_COLUMNS))
+    parameters = F.broadcast(_leg_table(orders.sparkSession, legs))
     new = reprice(F.col("discount"), F.col("cut"), F.col("growth"), F.col("response"))
     return (
         selected.join(parameters, "selection")
         .select(
-            "scenario", "revenue", "units_sold",
-            (F.col("discount_percent") * F.col("units_sold")).alias("weighted"),
+            "scenario", "revenue", "units_sold", "weighted",
             _millionths(new["revenue"]).alias("new_revenue"),
             _millionths(new["units_sold"]).alias("new_units"),
             _millionths(new["discount_percent"] * new["units_sold"]).alias("new_weighted"),
