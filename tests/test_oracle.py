@@ -5,8 +5,10 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from revq.oracle import sql
+from revq.plans import registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.queries(), sql.all_queries()
 
 
 @pytest.fixture(scope="module")
@@ -25,5 +27,9 @@ def test_equal(spark, duck, name):
     assert compare.difference(ours, compare.duck_rows(duck, SQL[name])) is None
 
 
+def test_the_entry_holds_every_report():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
