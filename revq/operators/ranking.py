@@ -1,11 +1,10 @@
-"""Ranks over a whole result.
+"""Ranks over a whole result, at any size.
 
-A window without PARTITION BY sorts all rows in one task. That is the quickest
-way for a small result, and no way for a large one. `with_global_ranks` writes
-the rows once, counts them, and above `row_limit` ranks by a distributed sort:
-sorted rows are numbered per partition, and the sizes of the partitions before
-it are added. Sorted rows are written to the shared folder before they are
-numbered, so a task that runs again sees the same partitions.
+A window without PARTITION BY sorts all rows in one task. `with_global_ranks`
+instead writes the rows once, and for each rank sorts the rank's keys over all tasks,
+noting the place of each within its task. Adding the sizes of the tasks before it
+gives the rank. All rank tables are made from the written rows alone and joined to
+them by key at the end.
 """
 
 from __future__ import annotations
@@ -17,8 +16,6 @@ from pyspark.sql import functions as F
 
 from revq.session import materialise
 
-SINGLE_TASK_ROWS = 1_000_000
-
 # Column name and direction, "asc" or "desc". NULLs come first ascending, last descending.
 Order = Sequence[tuple[str, str]]
 
@@ -27,42 +24,30 @@ def _sort(order: Order) -> list[Column]:
     return [F.col(name).desc() if way == "desc" else F.col(name).asc() for name, way in order]
 
 
-def _numbered(df: DataFrame, order: Order, out: str) -> DataFrame:
-    """Add `out` = 1, 2, 3, ... in the given order, without a single-task sort."""
-    # The id of a row is its partition number times 2^33, plus its place in the partition.
-    placed = materialise(df.orderBy(*_sort(order))).withColumn(
-        "_id", F.monotonically_increasing_id()
-    )
-    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
-    # One row per partition of the sort, hence small enough for one task and a broadcast.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+def _places(keys: DataFrame, order: Order, out: str) -> DataFrame:
+    """The rows of `keys` with `out` = 1, 2, 3, ... in the given order."""
+    # An id is the number of the task times 2^33, plus the place in the task's sorted
+    # rows. Both are written with the rows, so a task that runs again changes nothing.
+    placed = materialise(keys.orderBy(*_sort(order)).withColumn("_id", F.monotonically_increasing_id()))
+    task, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    # One row per task of the sort, hence small enough for one task.
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_task", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
+        placed.withColumn("_task", task)
+        .join(starts, "_task")
         .withColumn(out, F.col("_start") + place + 1)
-        .drop("_id", "_part", "_start")
+        .drop("_id", "_task", "_start")
     )
 
 
-def _distributed_dense_rank(df: DataFrame, order: Order, out: str) -> DataFrame:
-    keys = [name for name, _ in order]
-    ranks = _numbered(df.select(*keys).distinct(), order, out)
-    ranks = ranks.withColumnsRenamed({k: f"_{k}" for k in keys})
-    same = F.lit(True)
-    for k in keys:
-        same = same & df[k].eqNullSafe(ranks[f"_{k}"])
-    return df.join(ranks, same).drop(*[f"_{k}" for k in keys])
-
-
-def _tile(place: Column, rows: Column, tiles: int) -> Column:
+def _tile(place: Column, rows: int, tiles: int) -> Column:
     """NTILE from a row's place: the first (rows mod tiles) tiles hold one row more."""
-    size = F.floor(rows / tiles)
-    wide = rows % tiles
+    size, wide = divmod(rows, tiles)
     in_wide = wide * (size + 1)
     return F.when(place <= in_wide, F.floor((place - 1) / (size + 1)) + 1).otherwise(
-        wide + F.floor((place - 1 - in_wide) / F.nullif(size, F.lit(0))) + 1
+        wide + F.floor((place - 1 - in_wide) / F.lit(max(size, 1))) + 1
     )
 
 
@@ -71,28 +56,27 @@ def with_global_ranks(
     dense: Mapping[str, Order] | None = None,
     tiles: Mapping[str, tuple[int, Order]] | None = None,
     numbers: Mapping[str, Order] | None = None,
-    total: int | None = None,
-    row_limit: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """Add dense ranks, n-tiles and row numbers that span all rows.
 
-    Orders given to `tiles` and `numbers` should be total. The added columns
-    are BIGINT. `total` is the number of rows of a `df` that is written already.
+    Orders given to `tiles` and `numbers` must be total: their columns tell any
+    two rows apart. The added columns are BIGINT.
     """
-    dense, tiles, numbers = dense or {}, tiles or {}, numbers or {}
-    rows = df if total is not None else materialise(df)
-    total = rows.count() if total is None else total
-    if total <= row_limit:
-        added = {k: F.dense_rank().over(Window.orderBy(*_sort(o))) for k, o in dense.items()}
-        added |= {k: F.ntile(n).over(Window.orderBy(*_sort(o))) for k, (n, o) in tiles.items()}
-        added |= {k: F.row_number().over(Window.orderBy(*_sort(o))) for k, o in numbers.items()}
-        return rows.withColumns({k: c.cast("bigint") for k, c in added.items()})
-    for out, order in dense.items():
-        rows = _distributed_dense_rank(rows, order, out)
-    for out, (n, order) in tiles.items():
-        rows = _numbered(rows, order, out).withColumn(
-            out, _tile(F.col(out), F.lit(total), n).cast("bigint")
-        )
-    for out, order in numbers.items():
-        rows = _numbered(rows, order, out)
+    rows = materialise(df)
+    tables: list[tuple[str, Order, DataFrame]] = []
+    for out, order in {**(dense or {}), **(numbers or {})}.items():
+        keys = rows.select(*[name for name, _ in order])
+        tables.append((out, order, _places(keys.distinct() if out in (dense or {}) else keys, order, out)))
+    if tiles:
+        total = rows.count()
+        for out, (n, order) in tiles.items():
+            placed = _places(rows.select(*[name for name, _ in order]), order, out)
+            tables.append((out, order, placed.withColumn(out, _tile(F.col(out), total, n).cast("bigint"))))
+    for out, order, table in tables:
+        keys = [name for name, _ in order]
+        table = table.withColumnsRenamed({k: f"_{k}" for k in keys})
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        rows = rows.join(table, same).drop(*[f"_{k}" for k in keys])
     return rows

@@ -25,9 +25,6 @@ NATURAL_KEYS = (
     "order_date", "state", "category", "brand_type", "customer_gender", "customer_age", "sales_event",
 )
 
-# Dimensions up to this many rows (a few MB) are sent to every executor.
-BROADCAST_ROWS = 100_000
-
 # Dimension -> schema, its id first, and natural key in the order ids are given.
 DIMENSIONS = {
     "dim_date": (DIM_DATE, ("full_date",)),
@@ -86,16 +83,12 @@ def enrich(staging: DataFrame) -> DataFrame:
     return rows.withColumns(added)
 
 
-def _numbered(name: str, keys: DataFrame, total: int | None = None) -> DataFrame:
-    """A dimension from its distinct natural keys, numbered in their order.
-
-    Ids repeat from run to run. `total` as for `with_global_ranks`.
-    """
+def _numbered(name: str, keys: DataFrame) -> DataFrame:
+    """A dimension from its distinct natural keys, numbered in their order; ids repeat from run to run."""
     schema, order = DIMENSIONS[name]
     id_column = schema.names[0]
-    ranked = with_global_ranks(
-        keys, numbers={id_column: [(k, "asc") for k in order]}, total=total
-    ).withColumn(id_column, F.col(id_column).cast("int"))
+    ranked = with_global_ranks(keys, numbers={id_column: [(k, "asc") for k in order]})
+    ranked = ranked.withColumn(id_column, F.col(id_column).cast("int"))
     if name == "dim_date":
         date = F.col("full_date")
         ranked = ranked.withColumns(
@@ -161,15 +154,11 @@ def dimensions(staging: DataFrame) -> dict[str, DataFrame]:
               'dim_event', sales_event, cast(null AS string)) AS (dim, a, b)"""
         ).distinct()
     )
-    # Five rows; at most this many rows are in each dimension.
-    sizes = {row["dim"]: row["count"] for row in keys.groupBy("dim").count().collect()}
 
     def of(name: str, *columns: str) -> DataFrame:
         rows = keys.where(F.col("dim") == name).selectExpr(*columns)
         rows = _one_zone(rows.dropna(subset=["state_name"])) if name == "dim_state" else rows.dropna()
-        size = sizes.get(name, 0)
-        numbered = _numbered(name, rows, size)
-        return F.broadcast(numbered) if size <= BROADCAST_ROWS else numbered
+        return _numbered(name, rows)
 
     return {
         "dim_date": of("dim_date", "cast(a AS date) AS full_date"),
@@ -185,8 +174,8 @@ def dimensions(staging: DataFrame) -> dict[str, DataFrame]:
 def fact_orders(staging: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     """Staging rows with dimension ids; a row without a match drops out.
 
-    Dimensions counted to be small carry a broadcast hint; of others, such as
-    tables read from files, Spark broadcasts those below the session's threshold.
+    Dimensions are written tables: Spark knows their sizes and broadcasts those
+    below the session's threshold.
     """
     rows = staging.withColumnRenamed("state", "state_name").withColumnRenamed("order_date", "full_date")
     for name, (schema, keys) in DIMENSIONS.items():

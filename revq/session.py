@@ -1,12 +1,13 @@
-"""Session settings and the shared folder that cuts lineage."""
+"""Session settings and the shared folder for results that are used more than once."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scratch: list[tempfile.TemporaryDirectory] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -24,25 +25,43 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def use_shared_folder(spark: SparkSession) -> None:
-    """Checkpoint into the folder the session names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, one beside the tables.
 
-    Only a local master may fall back to a temporary folder: on a cluster the
-    executors would not find each other's files there.
+    Both are seen by the driver and all executors.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        _scratch.append(tempfile.TemporaryDirectory(prefix="revq-", ignore_cleanup_errors=True))
-        folder = _scratch[-1].name
-    context.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_revq"
+    return folder.rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder; later reads survive a lost executor."""
-    use_shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write `df` as a table in the shared folder and read it back.
+
+    Later reads survive a lost executor and know the table's size. The table
+    lives until `release` is called or the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/revq-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables `materialise` wrote; results that still read them end here."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for entry in [e for e in _written if e[0] is spark]:
+        path = jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(conf).delete(path, True)
+        _written.remove(entry)
+
+
+@atexit.register
+def _release_all() -> None:
+    for spark in {id(s): s for s, _ in _written}.values():
+        try:
+            release(spark)
+        except Exception:  # the session has ended, and its JVM with it
+            _written[:] = [e for e in _written if e[0] is not spark]
