@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revq.llm import jaccard, lines, mixing, oracle, substrings
+from revq.llm import jaccard, lines, mixing, oracle, rules, substrings
 from revq.llm.tables import table
 
 
@@ -20,6 +20,11 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return rules.judge(docs, rules.fit(docs, labels))
+
+
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     cut = lines.drop_repeated_lines(docs)
@@ -34,6 +39,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_substring_dedup": op3_substring_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op10_source_mix": op10_source_mix,
 }

@@ -7,6 +7,7 @@ hashed on bytes. Hashes have 64 bits; equal words always have equal hashes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +47,25 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool = False) -> np.ndarray:
+    """A hash of the bytes of each span; spans are in order and do not overlap."""
+    values = _FOLDED_VALUE if fold_case else _BYTE_VALUE
+    out = np.empty(len(start), np.uint64)
+    # Pieces bound the memory; a hash does not depend on where a piece begins.
+    cuts = [0]
+    while cuts[-1] < len(out):
+        limit = start[cuts[-1]] + _PIECE
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(start, limit))))
+    for a, b in zip(cuts, cuts[1:]):
+        low, high = int(start[a]), int(end[b - 1])
+        up, down = _power_tables(high - low + 1)
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(values[data[low:high]] * up[:-1], out=sums[1:])
+        first, last = start[a:b] - low, end[a:b] - low
+        out[a:b] = (sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)
+    return mixed(out)
+
+
 @dataclass
 class Words:
     """The words of a text column, in order."""
@@ -64,21 +84,7 @@ class Words:
 
     def hashes(self, fold_case: bool = False) -> np.ndarray:
         """A hash for each word; with `fold_case`, A-Z count as a-z."""
-        values = _FOLDED_VALUE if fold_case else _BYTE_VALUE
-        out = np.empty(len(self.start), np.uint64)
-        # Pieces bound the memory; a hash does not depend on where a piece begins.
-        cuts = [0]
-        while cuts[-1] < len(out):
-            limit = self.start[cuts[-1]] + _PIECE
-            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(self.start, limit))))
-        for a, b in zip(cuts, cuts[1:]):
-            low, high = int(self.start[a]), int(self.end[b - 1])
-            up, down = _power_tables(high - low)
-            sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(values[self.data[low:high]] * up, out=sums[1:])
-            start, end = self.start[a:b] - low, self.end[a:b] - low
-            out[a:b] = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
-        return mixed(out)
+        return span_hashes(self.data, self.start, self.end, fold_case)
 
     def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of `size` consecutive words of one text, and the index of the first word of each."""
@@ -113,3 +119,12 @@ def find_words(column: pa.Array | pa.ChunkedArray) -> Words:
     end = np.flatnonzero(inside & (after | edge[1:])) + 1
     doc = np.searchsorted(offsets, start, side="right") - 1
     return Words(data, offsets, start, end, doc)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `most` bytes of text, each of whole rows."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // most
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        yield batch.slice(a, b - a)
