@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revq.llm import jaccard, lines, mixing, oracle, rules, substrings
+from revq.llm import classifier, jaccard, lines, mixing, oracle, rules, substrings
 from revq.llm.tables import table
+from revq.llm.training import held_out
 
 
 def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +32,12 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scored = classifier.score(docs, classifier.fit(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
@@ -41,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_source_mix": op10_source_mix,
 }
 
