@@ -22,6 +22,17 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, d
 FROM sets LEFT JOIN least ON a = doc_id
 """
 
+TOKENS = f"""
+WITH counts AS (
+  SELECT source, lang, coalesce(toxic, 0) AS toxic,
+    CASE WHEN quality = 0 THEN translate(text, '#*$%&|<>', '') ELSE text END AS text
+  FROM documents LEFT JOIN labels USING (doc_id)),
+kept AS (SELECT source, lang, len({WORDS}) AS words, strlen(coalesce(text, '')) AS bytes FROM counts WHERE toxic <> 1),
+each AS (SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM kept
+         UNION ALL SELECT source, lang, 'bytes-1', bytes FROM kept)
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM each GROUP BY ALL
+"""
+
 SUBSTRINGS = f"""
 WITH docs AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM docs),
@@ -53,6 +64,7 @@ FROM marked GROUP BY doc_id
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard": JACCARD,
+    "op2_token_counts": TOKENS,
     "op3_substring_dedup": SUBSTRINGS,
     "op7_line_dedup": LINES,
 }

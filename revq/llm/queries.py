@@ -2,20 +2,59 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revq.llm import classifier, jaccard, lines, mixing, oracle, rules, substrings
+from revq.llm import (
+    classifier, jaccard, lines, mixing, neighbours, oracle, packing, rollups, rules, stats, substrings, urls,
+)
 from revq.llm.tables import table
 from revq.llm.training import held_out
+from revq.session import materialise, shared_folder
 
 
 def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, folder, "documents"), 3, 9, 10)
 
 
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after loading all documents, recounting the poor ones without symbols, and taking out toxic ones.
+
+    The second batch is sent twice, as after a failure.
+    """
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    text = F.col("text")
+    clean = F.translate(text, stats.SYMBOLS, "")
+    counts = materialise(
+        docs.select(
+            "doc_id", "source", "lang",
+            rollups.words(text).alias("words"), rollups.utf8_bytes(text).alias("bytes"),
+            rollups.words(clean).alias("clean_words"), rollups.utf8_bytes(clean).alias("clean_bytes"),
+        )
+    )
+    poor = counts.join(labels.where("quality = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    toxic = counts.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    by = {"words-1": F.col("words"), "bytes-1": F.col("bytes")}
+    clean_by = {"words-1": F.col("clean_words"), "bytes-1": F.col("clean_bytes")}
+    rollup = rollups.TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup.commit("load", rollups.counted(counts, by))
+    rollup.commit("recount", rollups.counted(poor, clean_by))
+    rollup.commit("recount", rollups.counted(poor, clean_by))
+    rollup.commit("retract", rollups.counted(toxic, by).withColumn("deleted", F.lit(True)))
+    return rollup.totals()
+
+
+def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -32,6 +71,11 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.fit(pages))
+
+
 def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     scored = classifier.score(docs, classifier.fit(docs, labels))
@@ -45,9 +89,13 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
+    "op8_url_filter": op8_url_filter,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_source_mix": op10_source_mix,
 }
