@@ -40,6 +40,11 @@ def word_count(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.size(F.split(bare, BLANKS))).otherwise(0).cast("long")
 
 
+def document_hash() -> Column:
+    """A hash of HASH_BITS bits that stands for a document in all thresholds."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text")), 64 - HASH_BITS)
+
+
 def targets(sources: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """Add `target` to one row per source with its `place` (from 0) and `source_size`.
 
@@ -127,7 +132,7 @@ def mix(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
-            F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 64 - HASH_BITS).alias("hash"),
+            document_hash().alias("hash"),
         )
     )
     sums = materialise(

@@ -41,8 +41,8 @@ RESULT = (
 
 
 def sequence_cost(length: int) -> float:
-    """Words of work per sequence: its length, and a fixed share for handling it."""
-    return length + 64.0
+    """Work per sequence in words: a fixed share, its length, and attention, which grows with its square."""
+    return 64 + length + length**2 / 16384
 
 
 def best_fit(
