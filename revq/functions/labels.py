@@ -8,7 +8,7 @@ list of closed intervals.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Upper edge (included) and label of each discount band.
@@ -43,6 +43,15 @@ WHATIF_AGE_GROUPS = ((18, 24, "Youth"), (25, 44, "Young Adult"), (45, 59, "Middl
 WHATIF_OLDEST = (60, "Elderly")
 
 
+# Columns whose few values are written with a capital first letter.
+CLOSED_VOCABULARIES = ("brand_type", "sales_event", "competition_intensity", "inventory_pressure")
+
+
+def one_spelling(orders: DataFrame) -> DataFrame:
+    """Write closed vocabularies one way ('FESTIVAL ' -> 'Festival'); names compare without case."""
+    return orders.withColumns({name: F.initcap(F.trim(F.col(name))) for name in CLOSED_VOCABULARIES})
+
+
 def discount_band(pct: Column) -> Column:
     pct = pct.cast("decimal(5,2)")
     (edge, label), *rest = BANDS
@@ -92,8 +101,8 @@ def revenue_loss(base_price: Column, pct: Column, units: Column) -> Column:
 
 
 def is_event(event: Column, name: str) -> Column:
-    """Event names compare without regard to case."""
-    return F.lower(event) == name.lower()
+    """Rows of an event; orders hold each event in one spelling."""
+    return event == name.capitalize()
 
 
 def register_sql_functions(spark: SparkSession) -> None:

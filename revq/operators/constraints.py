@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,69 +19,63 @@ class TableRules:
     foreign: Mapping[str, tuple[str, str]] | None = None
 
 
-def _long(counts: DataFrame, table: str, rule: str, names: Sequence[str]) -> DataFrame:
-    """One row of counts -> one row per rule."""
-    entries = [F.struct(F.lit(name).alias("columns"), F.col(f"c{i}").alias("violations"))
-               for i, name in enumerate(names)]
+def _long(counts: DataFrame, table: str, names: Sequence[tuple[str, str]]) -> DataFrame:
+    """One row of counts c0, c1, ... -> one row per (rule, columns)."""
+    entries = [
+        F.struct(F.lit(rule).alias("rule"), F.lit(columns).alias("columns"), F.col(f"c{i}").alias("violations"))
+        for i, (rule, columns) in enumerate(names)
+    ]
     return counts.select(F.explode(F.array(*entries)).alias("e")).select(
         F.lit(table).alias("table_name"),
-        F.lit(rule).alias("rule"),
-        F.col("e.columns").alias("columns"),
+        "e.rule",
+        "e.columns",
         F.coalesce("e.violations", F.lit(0)).cast("bigint").alias("violations"),
     )
 
 
-def _null_counts(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)])
-    return _long(counts, table, "not null", columns)
+def table_violations(
+    tables: Mapping[str, DataFrame],
+    table: str,
+    rule: TableRules,
+    counted: Column | None = None,
+    more: Mapping[tuple[str, str], Column] | None = None,
+) -> DataFrame:
+    """The rules of one table, in one pass over it for all rules but further unique keys.
 
-
-def _repeated_keys(df: DataFrame, table: str, key: Sequence[str]) -> DataFrame:
-    """Number of key values held by more than one row; NULL keys do not count."""
-    sizes = df.dropna(subset=list(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-    counts = sizes.agg(F.count_if(F.col("n") > 1).alias("c0"))
-    return _long(counts, table, "unique", [", ".join(key)])
-
-
-def _orphans(tables: Mapping[str, DataFrame], table: str, foreign) -> DataFrame:
-    """Rows whose foreign key has no parent, counted before they are looked up.
-
-    Rows are first counted per key value, so a parent that holds a third of
-    the rows is one row of the join, and all foreign keys share one pass.
+    Rows are grouped by the first unique key; the group's row carries what its rows
+    break of the other rules, so a second, small sum gives all counts. Parents are joined
+    by their distinct keys. `counted` limits the rules to some rows; `more` names further
+    conditions to count, over all rows.
     """
-    names = list(foreign)
-    keys = (
-        tables[table]
-        .select(F.explode(F.array(*[
-            F.struct(F.lit(i).alias("i"), F.col(c).cast("bigint").alias("key"))
-            for i, c in enumerate(names)
-        ])).alias("e"))
-        .select("e.*")
-        .where("key IS NOT NULL")
-        .groupBy("i", "key")
-        .agg(F.count(F.lit(1)).alias("n"))
+    counted = F.lit(True) if counted is None else counted
+    df = tables[table]
+    flags = {("not null", c): counted & F.col(c).isNull() for c in rule.not_null}
+    for i, (column, (parent, key)) in enumerate((rule.foreign or {}).items()):
+        parents = tables[parent].select(F.col(key).alias(f"_parent{i}")).dropna().distinct()
+        df = df.join(parents, F.col(column) == F.col(f"_parent{i}"), "left")
+        flags["foreign key", column] = counted & F.col(column).isNotNull() & F.col(f"_parent{i}").isNull()
+    flags |= more or {}
+    first, *others = [list(key) for key in rule.unique] or [[]]
+    rows = df.select(*first, counted.alias("_counted"), *[f.alias(f"f{i}") for i, f in enumerate(flags.values())])
+    groups = rows.groupBy(*first).agg(
+        F.count_if("_counted").alias("n"), *[F.count_if(f"f{i}").alias(f"n{i}") for i in range(len(flags))]
     )
-    parents = reduce(DataFrame.unionAll, [
-        tables[parent].select(F.lit(i).alias("i"), F.col(column).cast("bigint").alias("key"))
-        for i, (parent, column) in enumerate(foreign.values())
-    ])
-    lost = keys.join(parents, ["i", "key"], "left_anti")
-    counts = lost.agg(*[
-        F.sum(F.when(F.col("i") == i, F.col("n"))).alias(f"c{i}") for i in range(len(names))
-    ])
-    return _long(counts, table, "foreign key", names)
+    whole_key = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in first], F.lit(bool(first)))
+    sums = [F.sum(f"n{i}").alias(f"c{i}") for i in range(len(flags))]
+    names = [*flags]
+    if first:
+        sums.append(F.count_if(whole_key & (F.col("n") > 1)).alias(f"c{len(names)}"))
+        names.append(("unique", ", ".join(first)))
+    parts = [_long(groups.agg(*sums), table, names)] if names else []
+    for key in others:
+        sizes = tables[table].where(counted).dropna(subset=key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(_long(sizes.agg(F.count_if(F.col("n") > 1).alias("c0")), table, [("unique", ", ".join(key))]))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def violations(tables: Mapping[str, DataFrame], rules: Mapping[str, TableRules]) -> DataFrame:
     """One row per rule: table_name, rule, columns, violations."""
-    parts = []
-    for table, rule in rules.items():
-        if rule.not_null:
-            parts.append(_null_counts(tables[table], table, rule.not_null))
-        parts += [_repeated_keys(tables[table], table, key) for key in rule.unique]
-        if rule.foreign:
-            parts.append(_orphans(tables, table, rule.foreign))
-    return reduce(DataFrame.unionAll, parts)
+    return reduce(DataFrame.unionAll, [table_violations(tables, t, r) for t, r in rules.items()])
 
 
 def enforce(report: DataFrame) -> None:

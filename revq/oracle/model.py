@@ -49,6 +49,15 @@ UNIQUE = {
 }
 
 
+NATURAL = {
+    "dim_date": {"order_date": "full_date"},
+    "dim_state": {"state": "state_name"},
+    "dim_product": {"category": "category", "brand_type": "brand_type"},
+    "dim_customer_demo": {"customer_age": "customer_age", "customer_gender": "customer_gender"},
+    "dim_event": {"sales_event": "sales_event"},
+}
+
+
 def _star_ctes() -> list[str]:
     return [f"{n} AS ({s})" for n, s in DIMS.items()] + [f"fact_orders AS ({FACT})"]
 
@@ -75,6 +84,12 @@ def _violations() -> str:
             "fact_orders", "foreign key", key,
             f"SELECT count(*) FROM fact_orders f WHERE f.{key} NOT IN (SELECT {key} FROM {dim})",
         )
+    for dim, keys in NATURAL.items():
+        same = " AND ".join(f"d.{theirs} = s.{ours}" for ours, theirs in keys.items())
+        add(
+            "fact_orders", "not loaded", ", ".join(keys),
+            f"SELECT count(*) FROM stg s WHERE NOT EXISTS (SELECT 1 FROM {dim} d WHERE {same})",
+        )
     return " UNION ALL ".join(parts)
 
 

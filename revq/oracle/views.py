@@ -203,6 +203,7 @@ def queries() -> dict[str, str]:
             sales_event, competition_intensity, inventory_pressure)""",
         ),
         "V11_risk_adjusted_performance": query(_RISK_COLUMNS, "SELECT * FROM risk", *_RISK),
+        # The tiers, flags and action texts.
         "V12_risk_adjusted_summary": query(
             _RISK_COLUMNS
             + """ revenue_share_pct:d revenue_rank:b revenue_quartile:b realization_rank:b

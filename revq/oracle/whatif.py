@@ -57,8 +57,13 @@ def _param(name: str) -> str:
 
 
 def _shift() -> tuple[str, str, str]:
-    cut = "greatest(d - (CASE WHEN sales_event = 'Festival' THEN 10 ELSE 3 END), 0)"
-    return _new_discount(cut, "(CASE WHEN sales_event = 'Festival' THEN 0.5::double ELSE 0.3::double END)")
+    cut = "greatest(d - (CASE sales_event WHEN 'Festival' THEN 10 WHEN 'Normal' THEN 3 END), 0)"
+    return _new_discount(
+        cut, "(CASE sales_event WHEN 'Festival' THEN 0.5::double WHEN 'Normal' THEN 0.3::double END)"
+    )
+
+
+SHIFTED = "sales_event = 'Festival' OR sales_event = 'Normal'"
 
 
 def _branches() -> list[str]:
@@ -101,7 +106,7 @@ def _branches() -> list[str]:
         _param("optimal_discount"), "0.2",
     )
     found.append(
-        _branch("'OPP_10: Reallocate Festival Spend to Normal Periods'", "reallocation", "true", _shift())
+        _branch("'OPP_10: Reallocate Festival Spend to Normal Periods'", "reallocation", SHIFTED, _shift())
     )
     for target in (25, 22, 20):
         cap(
@@ -157,7 +162,7 @@ def queries() -> dict[str, str]:
         "R02_volume_growth": _row_query(
             f"state_name IN {STATES}", ("d", "price", "u * (1 + 20::double / 100)")
         ),
-        "R03_reallocation": _row_query("true", _shift()),
+        "R03_reallocation": _row_query(SHIFTED, _shift()),
         "R04_scenario_results": summary,
         "R05_whatif_parameters": query(
             """optimal_discount:d optimal_discount_rounded:d normal_avg_0:d normal_avg_1:d calm_avg:d

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from revq.functions.labels import age_group, discount_band
-from revq.operators.constraints import TableRules, violations
+from revq.functions.labels import age_group, discount_band, one_spelling
+from revq.operators.constraints import TableRules, enforce, table_violations, violations
 from revq.operators.ranking import with_global_ranks
 from revq.schema import (
     DIM_CUSTOMER_DEMO,
@@ -79,7 +81,7 @@ def enrich(staging: DataFrame) -> DataFrame:
         del added["month_start"]
     # One test per column, so that each can reach the scan.
     present = " AND ".join(f"{name} IS NOT NULL" for name in NATURAL_KEYS)
-    rows = staging.where(present).withColumnRenamed("state", "state_name")
+    rows = one_spelling(staging.where(present)).withColumnRenamed("state", "state_name")
     return rows.withColumns(added)
 
 
@@ -124,7 +126,8 @@ def dim_state(staging: DataFrame) -> DataFrame:
 
 def dim_product(staging: DataFrame) -> DataFrame:
     """One row per category and brand type."""
-    return _numbered("dim_product", staging.select("category", "brand_type").dropna().distinct())
+    products = one_spelling(staging).select("category", "brand_type")
+    return _numbered("dim_product", products.dropna().distinct())
 
 
 def dim_customer_demo(staging: DataFrame) -> DataFrame:
@@ -135,7 +138,7 @@ def dim_customer_demo(staging: DataFrame) -> DataFrame:
 
 def dim_event(staging: DataFrame) -> DataFrame:
     """One row per sales event."""
-    return _numbered("dim_event", staging.select("sales_event").dropna().distinct())
+    return _numbered("dim_event", one_spelling(staging).select("sales_event").dropna().distinct())
 
 
 def dimensions(staging: DataFrame) -> dict[str, DataFrame]:
@@ -145,7 +148,7 @@ def dimensions(staging: DataFrame) -> dict[str, DataFrame]:
     scanning tasks, so only a few keys per task are shuffled.
     """
     keys = materialise(
-        staging.selectExpr(
+        one_spelling(staging).selectExpr(
             """stack(5,
               'dim_date', cast(order_date AS string), cast(null AS string),
               'dim_state', state, zone,
@@ -171,16 +174,22 @@ def dimensions(staging: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def fact_orders(staging: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Staging rows with dimension ids; a row without a match drops out.
+def _placed(staging: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """Staging rows with dimension ids, null where a dimension has no match.
 
     Dimensions are written tables: Spark knows their sizes and broadcasts those
     below the session's threshold.
     """
-    rows = staging.withColumnRenamed("state", "state_name").withColumnRenamed("order_date", "full_date")
+    rows = one_spelling(staging).withColumnsRenamed({"state": "state_name", "order_date": "full_date"})
     for name, (schema, keys) in DIMENSIONS.items():
-        rows = rows.join(dims[name].select(schema.names[0], *keys), list(keys))
-    return rows.select(FACT_ORDERS.names)
+        rows = rows.join(dims[name].select(schema.names[0], *keys), list(keys), "left")
+    return rows
+
+
+def fact_orders(staging: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """Staging rows with dimension ids; a row without a match drops out."""
+    ids = [schema.names[0] for schema, _ in DIMENSIONS.values()]
+    return _placed(staging, dims).dropna(subset=ids).select(FACT_ORDERS.names)
 
 
 def star(staging: DataFrame) -> dict[str, DataFrame]:
@@ -189,28 +198,58 @@ def star(staging: DataFrame) -> dict[str, DataFrame]:
     return dims | {"fact_orders": fact_orders(staging, dims)}
 
 
-def write_star(tables: dict[str, DataFrame], folder: str) -> None:
-    """Drop and recreate the six tables under `folder`."""
+def write_star(tables: dict[str, DataFrame], folder: str, strict: bool = False) -> None:
+    """Drop and recreate the six tables under `folder`, the facts in one folder per month.
+
+    With `strict`, a broken rule raises an error before anything is written.
+    """
+    if strict:
+        enforce(constraint_report(tables))
     for name, df in tables.items():
-        replace_table(df, f"{folder}/{name}")
+        if name == "fact_orders":
+            months = tables["dim_date"].select("date_id", "month_start")
+            replace_table(df.join(months, "date_id"), f"{folder}/{name}", ("month_start",))
+        else:
+            replace_table(df, f"{folder}/{name}")
 
 
 def rejoin(tables: dict[str, DataFrame]) -> DataFrame:
     """Staging rows from a star schema, each with the zone of its state."""
-    rows = tables["fact_orders"]
+    rows = tables["fact_orders"].drop("month_start")  # written facts have it, and so has dim_date
     for name, (schema, _) in DIMENSIONS.items():
         rows = rows.join(tables[name], schema.names[0])
     return rows.withColumnsRenamed({"state_name": "state", "full_date": "order_date"})
 
 
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """Violations per declared rule of the star schema."""
+    """Violations per declared rule of a star schema."""
     return violations(tables, RULES)
 
 
+def load_report(staging: DataFrame) -> DataFrame:
+    """Violations of the star schema that `staging` makes, and the staging rows it leaves out.
+
+    A row is left out where a dimension has no match for it, most often for a missing
+    natural key; such rows are counted per dimension. The orders are read once for the
+    dimensions and once for everything else.
+    """
+    dims = dimensions(staging)
+    placed = _placed(staging, dims)
+    ids = [schema.names[0] for schema, _ in DIMENSIONS.values()]
+    loaded = reduce(lambda a, b: a & b, [F.col(i).isNotNull() for i in ids])
+    names = {"full_date": "order_date", "state_name": "state"}
+    left_out = {
+        ("not loaded", ", ".join(names.get(k, k) for k in keys)): F.col(schema.names[0]).isNull()
+        for schema, keys in DIMENSIONS.values()
+    }
+    facts = table_violations(dims | {"fact_orders": placed}, "fact_orders", RULES["fact_orders"], loaded, left_out)
+    dim_rules = {name: rule for name, rule in RULES.items() if name in dims}
+    return violations(dims, dim_rules).unionAll(facts)
+
+
 def load_checks(staging: DataFrame) -> DataFrame:
     """Row count, first and last date, and rows per event, in one pass."""
-    counts = staging.rollup("sales_event").agg(
+    counts = one_spelling(staging).rollup("sales_event").agg(
         F.grouping("sales_event").alias("overall"),
         F.count(F.lit(1)).alias("n"),
         F.min("order_date").alias("first"),

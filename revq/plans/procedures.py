@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revq.functions.numeric import rnd
 from revq.plans.measures import avg_discount, totals
 from revq.schema import MONTHLY_SUMMARY
+from revq.sources.files import replace_folders, replace_table
 
 
 def monthly_summary(orders: DataFrame) -> DataFrame:
@@ -29,9 +30,10 @@ def refresh_monthly_summary(
 ) -> DataFrame:
     """Rewrite the summary table at `path` and return it.
 
-    Without `years` the whole table is replaced. With `years` only the folders
-    of these years are: their orders are recomputed, and readers see the old
-    rows of a year until the new ones are committed.
+    Without `years` the whole table is replaced. With `years` only the folders of
+    these years are: their orders are recomputed, and a year whose orders are all
+    gone loses its rows. New rows are written beside the table first, so a job that
+    fails midway leaves the table as it was.
     """
     if years is not None:
         first, last = f"{min(years)}-01-01", f"{max(years)}-12-31"
@@ -40,10 +42,10 @@ def refresh_monthly_summary(
         orders = orders.where(F.col("month_start").between(first, last) & F.col("year").isin(*years))
     # At most twelve rows per year: one file per folder.
     rows = monthly_summary(orders).repartition("year")
-    writer = rows.write.mode("overwrite").partitionBy("year")
-    if years is not None:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)
+    if years is None:
+        replace_table(rows, path, ("year",))
+    else:
+        replace_folders(rows, path, "year", years)
     return orders.sparkSession.read.schema(MONTHLY_SUMMARY).parquet(path).select(MONTHLY_SUMMARY.names)
 
 

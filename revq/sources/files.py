@@ -2,37 +2,68 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from revq.functions.labels import one_spelling
 from revq.schema import STG_ORDERS, require_columns
 
-# Columns whose few values are written with a capital first letter.
-CLOSED_VOCABULARIES = ("brand_type", "sales_event", "competition_intensity", "inventory_pressure")
 OPEN_NAMES = ("order_id", "state", "zone", "category", "customer_gender")
 
 
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The CSV files under `paths`, by their first line; one line of each file is read."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found: dict[str, list[str]] = {}
+
+    def visit(files, status) -> None:
+        if status.getPath().getName().startswith(("_", ".")):
+            return
+        if status.isDirectory():
+            for inner in files.listStatus(status.getPath()):
+                visit(files, inner)
+            return
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(files.open(status.getPath()), "UTF-8"))
+        header = lines.readLine()
+        lines.close()
+        if header:
+            found.setdefault(header.removeprefix("\ufeff"), []).append(status.getPath().toString())
+
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(conf)
+        for status in files.globStatus(place) or []:
+            visit(files, status)
+    return found
+
+
 def read_orders_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Typed staging rows from CSV files with a header, in any column order.
+    """Typed staging rows from CSV files with a header, each in a column order of its own.
 
-    The header is matched by name and nothing is inferred; a value that does
-    not fit its type fails the read instead of turning into NULL.
+    Files are read together where their headers agree. Columns are matched by name
+    and nothing is inferred. A value that is none of its type fails the read instead of
+    turning into NULL; decimals with more places than their type are rounded half up.
     """
-    # Only the header is read here: without inference every column is a string.
-    raw = spark.read.option("header", True).csv(path)
-    require_columns(raw)
-    typed = raw.select([F.trim(F.col(f.name)).cast(f.dataType).alias(f.name) for f in STG_ORDERS])
-    return clean_names(typed)
+    headers = _headers(spark, [path] if isinstance(path, str) else list(path))
+    if not headers:
+        raise FileNotFoundError(f"no CSV file with a header in {path}")
+    parts = []
+    for files in headers.values():
+        # Only the header is read here: without inference every column is a string.
+        raw = spark.read.option("header", True).csv(files)
+        require_columns(raw)
+        parts.append(raw.select([F.trim(F.col(f.name)).cast(f.dataType).alias(f.name) for f in STG_ORDERS]))
+    return clean_names(reduce(DataFrame.unionByName, parts))
 
 
 def clean_names(orders: DataFrame) -> DataFrame:
     """Trim names; write closed vocabularies one way ('FESTIVAL' -> 'Festival')."""
-    tidy = {name: F.trim(F.col(name)) for name in OPEN_NAMES}
-    tidy |= {name: F.initcap(F.trim(F.col(name))) for name in CLOSED_VOCABULARIES}
-    return orders.withColumns(tidy)
+    return one_spelling(orders.withColumns({name: F.trim(F.col(name)) for name in OPEN_NAMES}))
 
 
 def write_orders(orders: DataFrame, path: str) -> None:
@@ -57,8 +88,46 @@ def read_orders(spark: SparkSession, path: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Drop and recreate a parquet table."""
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    """Write a parquet table beside `path`, then put it there; on a failure the old table stays."""
+    staged = _staged(path)
+    df.write.partitionBy(*partition_by).parquet(staged)
+    _swap(df.sparkSession, {path: staged})
+
+
+def replace_folders(df: DataFrame, path: str, column: str, values: Sequence) -> None:
+    """Replace the folders of some partition values of a table by the rows of `df`.
+
+    A value without rows loses its folder. Until all rows are written, nothing changes.
+    """
+    spark, staged = df.sparkSession, _staged(path)
+    df.where(F.col(column).isin(*values)).write.partitionBy(column).parquet(staged)
+    _swap(spark, {f"{path}/{column}={v}": f"{staged}/{column}={v}" for v in values})
+    place = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _staged(path: str) -> str:
+    head, _, name = path.rstrip("/").rpartition("/")
+    return f"{head}/_{name}-{uuid.uuid4().hex}"
+
+
+def _swap(spark: SparkSession, moves: dict[str, str]) -> None:
+    """Move each staged folder, if there is one, to its place; old folders go last."""
+    make, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    old = []
+    for target, staged in moves.items():
+        place, source = make(target), make(staged)
+        files = place.getFileSystem(conf)
+        if files.exists(place):
+            aside = make(_staged(target))
+            files.rename(place, aside)
+            old.append(aside)
+        if files.exists(source):
+            files.mkdirs(place.getParent())
+            if not files.rename(source, place):
+                raise OSError(f"{staged} cannot be moved to {target}")
+    for aside in old:
+        aside.getFileSystem(conf).delete(aside, True)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from revq.operators.constraints import enforce
-from revq.plans import model, procedures, registry, views
+from revq.plans import adhoc, model, procedures, registry, views, whatif
 from revq.schema import FACT_ORDERS, STG_ORDERS, require_columns
 from revq.sources import files
 
@@ -33,7 +33,7 @@ def test_rejoined_star_gives_the_same_reports(small_staging, small_orders, spark
     names = [*model.DIMENSIONS, "fact_orders"]
     tables = {n: spark.read.parquet(f"{tmp_path}/{n}") for n in names}
     assert tables["fact_orders"].count() == small_staging.count()
-    assert tables["fact_orders"].schema.names == FACT_ORDERS.names
+    assert set(tables["fact_orders"].schema.names) == {*FACT_ORDERS.names, "month_start"}
     again = model.enrich(model.rejoin(tables))
     for report in (views.risk_adjusted_performance, views.discount_band_performance):
         assert rows(report(again)) == rows(report(small_orders))
@@ -102,6 +102,53 @@ def test_csv_round_trip_cleans_names(spark, staging, tmp_path):
         files.read_orders_csv(spark, str(tmp_path / "short"))
 
 
+def test_csv_files_keep_their_own_column_order(spark, staging, tmp_path):
+    df = staging({"state": "Goa", "zone": "West"}, {"state": "Delhi", "zone": "North"})
+    for i, columns in enumerate((STG_ORDERS.names, [*STG_ORDERS.names[:2], "zone", "state", *STG_ORDERS.names[4:]])):
+        files.write_csv(df.where(F.col("order_id") == f"o{i}").select(*columns), str(tmp_path / f"part{i}"))
+    back = files.read_orders_csv(spark, [str(tmp_path / "part0"), str(tmp_path / "part1")])
+    assert sorted((r.state, r.zone) for r in back.collect()) == [("Delhi", "North"), ("Goa", "West")]
+
+
+def test_left_out_rows_are_reported(staging):
+    report = model.load_report(staging({}, {"state": None}, {"sales_event": None}, {"customer_age": None}, {"order_id": "o0"}))
+    found = {(r.rule, r["columns"]): r.violations for r in report.where("violations > 0").collect()}
+    assert found == {
+        ("not loaded", "state"): 1, ("not loaded", "sales_event"): 1,
+        ("not loaded", "customer_age, customer_gender"): 1, ("unique", "order_id"): 1,
+    }
+
+
+def test_strict_load_writes_nothing(staging, tmp_path):
+    with pytest.raises(ValueError, match="unique"):
+        model.write_star(model.star(staging({"order_id": "x"}, {"order_id": "x"})), str(tmp_path / "star"), strict=True)
+    assert not (tmp_path / "star").exists()
+
+
+def test_registration_runs_no_job(spark, small_orders):
+    spark.sparkContext.setJobGroup("registration", "views")
+    registry.register_views(small_orders)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("registration")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not list(jobs)
+
+
+def test_spelling_changes_no_report(staging):
+    spellings = ("FESTIVAL", "festival", " Festival", "Normal")
+    mixed = model.enrich(staging(*[{"sales_event": e, "order_id": f"o{i}"} for i, e in enumerate(spellings)]))
+    clean = model.enrich(
+        staging(*[{"sales_event": e.strip().capitalize(), "order_id": f"o{i}"} for i, e in enumerate(spellings)])
+    )
+    reports = (
+        adhoc.event_revenue_per_order, adhoc.event_revenue_per_order_by_category, adhoc.festival_lift,
+        adhoc.festival_lift_and_discount, adhoc.margin_risk_pockets, views.event_uplift_by_category,
+        views.discount_response_quality, views.revenue_quality_risk_hotspots, whatif.results,
+    )
+    for report in reports:
+        assert rows(report(mixed)) == rows(report(clean)), report.__name__
+    assert adhoc.event_revenue_per_order(mixed).first().festival_revenue == 240
+
+
 def test_order_table_round_trip(spark, small_staging, tmp_path):
     path = str(tmp_path / "orders")
     files.write_orders(small_staging, path)
@@ -122,13 +169,22 @@ def test_summary_refresh(staging, orders, tmp_path):
     changed = orders({"order_date": "2023-02-01", "units_sold": 9}, {"order_date": "2024-01-05", "units_sold": 9})
     part = procedures.refresh_monthly_summary(changed, path, years=[2024])
     assert [r.total_units for r in part.orderBy("month_start").collect()] == [1, 9]
+    emptied = procedures.refresh_monthly_summary(changed.where("year = 2024"), path, years=[2023])
+    assert [r.total_units for r in emptied.collect()] == [9]
     whole = procedures.refresh_monthly_summary(changed.where("year = 2024"), path)
     assert [r.total_units for r in whole.collect()] == [9]
+    broken = changed.withColumn("revenue", F.raise_error(F.lit("fails midway")).cast("decimal(12,2)"))
+    for years in (None, [2024]):
+        with pytest.raises(Exception, match="fails midway"):
+            procedures.refresh_monthly_summary(broken, path, years=years)
+        assert [r.total_units for r in whole.sparkSession.read.parquet(path).collect()] == [9]
 
 
 def test_views_can_be_queried_in_sql(spark, small_staging, small_orders):
     names = registry.register_views(small_orders, model.star(small_staging))
+    names += registry.refresh_ranked_views(small_orders)
     assert len(names) == 20
+    assert spark.sql("SELECT discount_band(33)").first()[0] == "31-40%"
     top = spark.sql("SELECT max(total_revenue) AS r FROM v_risk_adjusted_summary WHERE revenue_rank = 1")
     assert top.first().r == small_orders.groupBy("state_name", "category", "brand_type").agg(
         F.sum("revenue").alias("r")
