@@ -23,12 +23,12 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the line classifier does not reject."""
     model = classifier.fit(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    return classifier.with_scores(docs, model, "_score").where(F.col("_score") >= classifier.LEAST_SCORE).select(COLUMNS)
+    return classifier.with_scores(docs.select(COLUMNS), model, "_score").where(F.col("_score") >= classifier.LEAST_SCORE).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """All documents, without the lines that many documents share."""
-    cut = lines.drop_repeated_lines(docs)
+    cut = lines.drop_repeated_lines(docs.select(COLUMNS))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
@@ -44,7 +44,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     mixed = mixing.mix(docs).where("copies > 0")
     copies = mixed.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "copies").distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & mixing.document_hash().eqNullSafe(F.col("_hash"))
-    taken = docs.join(copies.hint("shuffle_hash"), same)
+    taken = docs.select(COLUMNS).join(copies.hint("shuffle_hash"), same)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(COLUMNS)
 
 

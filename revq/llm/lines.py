@@ -164,21 +164,21 @@ def drop_repeated_lines(
     dropped = (
         lines.join(repeated, HASH)
         .where(F.col("doc_id") != F.col("keeper"))
-        .groupBy(F.col("doc_id").alias("_id"))
-        .agg(F.collect_set(F.struct(*HASH)).alias("_dropped"))
+        .groupBy(F.col("doc_id").alias("_lines_id"))
+        .agg(F.collect_set(F.struct(*HASH)).alias("_lines_dropped"))
     )
     lines_of = split_lines(F.col("text"))
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return (F.length(key) < min_chars) | ~F.array_contains(F.col("_dropped"), key_hash(key))
+        return (F.length(key) < min_chars) | ~F.array_contains(F.col("_lines_dropped"), key_hash(key))
 
-    whole = F.col("_dropped").isNull()
+    whole = F.col("_lines_dropped").isNull()
     kept = F.when(whole, lines_of).otherwise(F.filter(lines_of, stays))
-    joined = docs.join(dropped.hint("shuffle_hash"), docs["doc_id"] == dropped["_id"], "left")
+    joined = docs.join(dropped.hint("shuffle_hash"), F.col("doc_id") == F.col("_lines_id"), "left")
     return (
-        joined.withColumns({"_kept": kept, "n_lines": F.size(lines_of).cast("long")})
-        .withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-        .withColumn("text", F.array_join("_kept", "\n"))
-        .drop("_id", "_dropped", "_kept")
+        joined.withColumns({"_lines_kept": kept, "n_lines": F.size(lines_of).cast("long")})
+        .withColumn("n_dropped", F.col("n_lines") - F.size("_lines_kept"))
+        .withColumn("text", F.array_join("_lines_kept", "\n"))
+        .drop("_lines_id", "_lines_dropped", "_lines_kept")
     )
