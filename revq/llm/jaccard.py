@@ -16,9 +16,11 @@ miss at most miss(n) = n - ceil(t n) of them in a partner; that bounds every ove
    functions. Verified links give components. Groups are the members of a component
    (single classes: of a bucket), at most about 32 each.
 4. *Token-group matrix.* A group stores the union of its members' rarest miss(n) + l(n)
-   tokens. A class looks up its own such tokens. The hits bound its overlap with any
-   member: with fewer than l of the smallest possible partner there is no link. Only
-   groups of other components that pass are opened, by the smaller component.
+   tokens. Queries are asked group by group: the tokens that a group of queries shares
+   with another group's union bound the overlap of any two members, and with fewer than
+   l of the smallest possible partner there is no link. Sizes and tokens of one's own
+   bound it too. Only groups of other components that pass are opened, by the smaller
+   component.
 5. An opened group stores the union of all its tokens; a query whose overlap with it is
    too small is not compared with the members. All others are, exactly.
 
@@ -71,6 +73,12 @@ class Threshold:
         """Tokens beyond miss(n) that are looked up; at least one."""
         return np.maximum(1, -(-self.miss(n) // 2))
 
+    def least_probes_sql(self, n: str) -> str:
+        """probes() of the smallest set that can link with one of `n` tokens, as SQL."""
+        least = f"(({self.numerator} * {n} + {self.denominator - 1}) div {self.denominator})"
+        miss = f"({least} - ({self.numerator} * {least} + {self.denominator - 1}) div {self.denominator})"
+        return f"greatest(1, ({miss} + 1) div 2)"
+
     def prefix(self, n):
         return np.minimum(n, self.miss(n) + self.probes(n))
 
@@ -271,7 +279,7 @@ def _leader_links(dense: DataFrame, t: Threshold) -> DataFrame:
 
 def _group_links(members: DataFrame, t: Threshold) -> DataFrame:
     """Links between components, found through the token-group matrix."""
-    columns = "token long, node binary, root binary, size long, least long, gid long, alone boolean"
+    columns = "token long, gid long"
 
     def early(batches: B.Batches) -> B.Batches:
         for batch in batches:
@@ -281,43 +289,48 @@ def _group_links(members: DataFrame, t: Threshold) -> DataFrame:
                 np.frombuffer(x, np.uint64)[:k].view(np.int64) for x, k in zip(batch["tokens"].to_pylist(), take)
             ]
             row = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
-            least = np.minimum(t.probes(t.least(n)), t.prefix(n) - t.miss(n))
+            tokens = pa.array(np.concatenate(parts) if parts else [], pa.int64())
+            full = pa.RecordBatch.from_pydict({"token": tokens, "gid": batch["gid"].take(row)})
             # Pieces keep the batches small however long the sets are.
-            full = pa.RecordBatch.from_pydict(
-                {
-                    "token": pa.array(np.concatenate(parts) if parts else [], pa.int64()),
-                    **{k: batch[k].take(row) for k in ("node", "root", "size")},
-                    "least": pa.array(least, pa.int64()).take(row),
-                    **{k: batch[k].take(row) for k in ("gid", "alone")},
-                }
-            )
             for i in range(0, full.num_rows, 50_000):
                 yield full.slice(i, 50_000)
 
-    probes = members.select("node", "n", "own", "tokens", "root", "size", "gid", "alone").mapInArrow(early, columns)
-    matrix = probes.select(
-        "token", F.col("gid").alias("group"), F.col("size").alias("group_size"),
-        F.when(F.col("size") > 1, F.col("root")).alias("group_root"),
-    ).distinct()
-    other = ~F.col("group_root").eqNullSafe(F.col("root"))
-    smaller = (F.col("size") < F.col("group_size")) | (
-        (F.col("size") == F.col("group_size")) & (F.col("gid") <= F.col("group"))
+    n, least = F.col("n"), F.expr(t.least_probes_sql("n"))
+    groups = materialise(
+        members.groupBy("gid", "size", F.when(F.col("size") > 1, F.col("root")).alias("root")).agg(
+            F.min(n).alias("low"), F.max(n).alias("high"), F.min("own").alias("own"),
+            F.min(least).alias("least"), F.count(F.lit(1)).alias("rows"),
+        )
+    )
+    matrix = materialise(
+        members.select("n", "own", "tokens", "gid").mapInArrow(early, columns).distinct().join(groups, "gid")
     )
-    # A group with one member holds nothing new for that member.
-    filled = ~(F.col("alone") & (F.col("gid") == F.col("group")))
-    opened = materialise(
-        probes.join(matrix, "token")
-        .where(other & smaller & filled)
-        .groupBy("group", "node")
+    theirs = matrix.select("token", *[F.col(c).alias(f"{c}2") for c in groups.columns])
+    other = ~F.col("root").eqNullSafe(F.col("root2")) | F.col("root").isNull()
+    smaller = (F.col("size") < F.col("size2")) | (
+        (F.col("size") == F.col("size2")) & (F.col("gid") < F.col("gid2"))
+    )
+    near = (F.col("high") * t.denominator >= F.col("low2") * t.numerator) & (
+        F.col("high2") * t.denominator >= F.col("low") * t.numerator
+    )
+    # Tokens of one's own are missing in any partner, on both sides.
+    apart = (F.col("own") + F.col("own2")) * (t.numerator + t.denominator)
+    near = near & (apart <= (F.col("high") + F.col("high2")) * (t.denominator - t.numerator))
+    between = (
+        matrix.join(theirs, "token")
+        .where(other & smaller & near)
+        .groupBy("gid", F.col("gid2").alias("group"))
         .agg(F.count(F.lit(1)).alias("hits"), F.first("least").alias("least"))
         .where(F.col("hits") >= F.col("least"))
-        .select("group", "node", F.pmod(F.xxhash64("node"), F.lit(1 << 30)).alias("spread"))
+        .select("gid", "group")
     )
-    portions = opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).alias("portions"))
+    # Members of one component need not be compared; single classes of one group must be.
+    inside = groups.where("root IS NULL AND rows > 1").select("gid", F.col("gid").alias("group"))
+    opened = materialise(between.unionByName(inside))
+    portions = opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) * GROUP_ROWS / QUERY_ROWS).alias("portions"))
     sides = ["node", "n", "tokens", "root"]
-    queries = opened.join(portions, "group").withColumn("portion", F.col("spread") % F.col("portions")).join(
-        members.select(*sides), "node"
-    )
+    asking = opened.join(portions, "group").withColumn("portion", F.pmod(F.xxhash64("gid"), F.col("portions")))
+    queries = asking.join(members.select(*sides, "gid"), "gid")
     # Aliases make these columns differ from the queries', which come from the same table.
     targets = (
         members.select(*[F.col(c).alias(c) for c in sides], F.col("gid").alias("group"))
@@ -370,9 +383,7 @@ def _in_groups(dense: DataFrame, roots: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / GROUP_ROWS))
     same = (F.col("minimum") == F.col("_minimum")) & F.col("of").eqNullSafe(F.col("_of"))
     return placed.join(rows, same).select(
-        "node", "n", "own", "tokens", "root", "size",
-        F.xxhash64("minimum", "of", part).alias("gid"),
-        ((F.col("rows") == 1) & (F.col("size") == 1)).alias("alone"),
+        "node", "n", "own", "tokens", "root", "size", F.xxhash64("minimum", "of", part).alias("gid")
     )
 
 
@@ -399,7 +410,8 @@ def near_duplicates(
     rooted = sets.select("doc_id", "n", "node").join(final, "node", "left").select(
         "doc_id", "n", F.coalesce("top", "node").alias("top")
     )
-    ids = rooted.where("top IS NOT NULL").groupBy("top").agg(F.min("doc_id").alias("component_id"))
+    # Written, so that the join is free to split a class with very many documents.
+    ids = materialise(rooted.where("top IS NOT NULL").groupBy("top").agg(F.min("doc_id").alias("component_id")))
     return rooted.join(ids, "top", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
