@@ -25,6 +25,7 @@ empty result. Other columns of the input are carried along by `drop_repeated_lin
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,7 @@ from revq.session import materialise, shared_folder
 BLANK_SET = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 HASH = ["h1", "h2"]
+RUN = "h1 long, h2 long, docs long, keeper long"
 
 
 def split_lines(text: Column) -> Column:
@@ -63,10 +65,10 @@ class LineRuns:
         self.levels: list[list[str]] = []
 
     def _write(self, run: DataFrame) -> str:
+        """Store rows that are placed by hash already, one sorted file per bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
         (
-            run.repartition(self.buckets, *HASH)
-            .write.option("path", f"{self.folder}/{name}")
+            run.write.option("path", f"{self.folder}/{name}")
             .bucketBy(self.buckets, *HASH)
             .sortBy(*HASH)
             .saveAsTable(name)
@@ -93,7 +95,7 @@ class LineRuns:
         marked = own.join(fresh, HASH, "left").select(*HASH, "docs", keeper) if self.levels else (
             own.select(*HASH, "docs", F.col("last").alias("keeper"))
         )
-        name = self._write(marked)
+        name = self._write(marked.repartition(self.buckets, *HASH))
         self._place(name, 0)
         return self.spark.table(name) if name in sum(self.levels, []) else marked
 
@@ -102,7 +104,7 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merged([self.spark.table(n) for n in self.levels[level]]))
+            merged = self._write(self._merged(self.levels[level]).repartition(self.buckets, *HASH))
             old, self.levels[level] = self.levels[level], []
             for n in old:
                 self._drop(n)
@@ -114,16 +116,18 @@ class LineRuns:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for run in runs[1:]:
-            rows = rows.unionByName(run)
-        return rows.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.max("keeper").alias("keeper"))
+    def _merged(self, names: list[str]) -> DataFrame:
+        # The files are read as plain files: Spark takes a union of bucketed tables for placed
+        # by bucket, though it may read them without their buckets, and would split groups.
+        runs = [self.spark.read.schema(RUN).parquet(f"{self.folder}/{name}") for name in names]
+        rows = reduce(DataFrame.unionByName, runs, self.spark.createDataFrame([], RUN))
+        return rows.groupBy(*HASH).agg(
+            F.sum("docs").alias("docs"), F.max("keeper").alias("keeper")
+        )
 
     def totals(self) -> DataFrame:
         """Documents and keeper per hash over all runs."""
-        return self._merged(self.runs())
+        return self._merged(sum(self.levels, []))
 
     def close(self) -> None:
         for name in sum(self.levels, []):
