@@ -1,7 +1,8 @@
 """Linear-chain conditional random field over the lines of documents, in numpy.
 
 Two states per line, bad (0) and good (1). A line's evidence are its own features and
-those of the lines before and after it; neighbouring states are tied by a 2 x 2 table.
+those of the lines before and after it; neighbouring states are tied by a 2 x 2 table
+that rewards equal states, alike for both, so that a lone line has no leaning of its own.
 All chains of a batch step together: in step k every chain with more than k lines moves.
 """
 
@@ -51,8 +52,8 @@ def with_neighbours(x: np.ndarray, layout: Layout) -> np.ndarray:
     return np.concatenate([x, before, after], axis=1)
 
 
-def marginals(score: np.ndarray, ties: np.ndarray, layout: Layout, pairs: bool = False):
-    """P(good) per line; with `pairs`, also the sum over all steps of the P of each pair of states.
+def marginals(score: np.ndarray, ties: np.ndarray, layout: Layout, weight: np.ndarray | None = None):
+    """P(good) per line; with a `weight` per line, also the weighted sum of P of each pair of states.
 
     `score` is the evidence for good over bad of each line. Messages are normed at every step.
     """
@@ -69,13 +70,13 @@ def marginals(score: np.ndarray, ties: np.ndarray, layout: Layout, pairs: bool =
         backward[at - 1] = b / b.sum(axis=1, keepdims=True)
     p = forward * backward
     p /= p.sum(axis=1, keepdims=True)
-    if not pairs:
+    if weight is None:
         return p[:, 1]
     total = np.zeros((2, 2))
     if len(steps) > 1:
         at = np.concatenate(steps[1:])
         joint = forward[at - 1][:, :, None] * m * (e[at] * backward[at])[:, None, :]
-        total = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+        total = (weight[at][:, None, None] * joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
     return p[:, 1], total
 
 
@@ -98,19 +99,15 @@ def fit(x: np.ndarray, lengths: np.ndarray, good: np.ndarray, rounds: int = 150,
     share = np.where(good == 1, 1 / max(good.sum(), 1), 1 / max((1 - good).sum(), 1)) / 2
     weight = (share / np.maximum(lengths, 1))[doc]
     y = good[doc].astype(float)
-    # Pairs of a document have equal states, the document's label.
-    tied = np.zeros((2, 2))
-    theta = np.zeros(x.shape[1] + 5)
-    pair_share = (share / np.maximum(lengths, 1)) * np.maximum(lengths - 1, 0)
-    tied[1, 1], tied[0, 0] = pair_share[good == 1].sum(), pair_share[good == 0].sum()
+    theta = np.zeros(x.shape[1] + 2)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for r in range(1, rounds + 1):
-        w, bias, ties = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
-        p, pairs = marginals(x @ w + bias, ties, layout, pairs=True)
+        w, bias, ties = theta[:-2], theta[-2], theta[-1] * np.eye(2)
+        p, pairs = marginals(x @ w + bias, ties, layout, weight)
         gap = weight * (y - p)
-        pairs = pairs * (tied.sum() / max(pairs.sum(), 1e-12))
-        slope = np.concatenate([x.T @ gap - l2 * w, [gap.sum()], (tied - pairs).ravel() - l2 * ties.ravel()])
+        # Lines of a document have equal labels, so every pair should be equal.
+        slope = np.concatenate([x.T @ gap - l2 * w, [gap.sum(), pairs[0, 1] + pairs[1, 0] - l2 * theta[-1]]])
         first = 0.9 * first + 0.1 * slope
         second = 0.999 * second + 0.001 * slope**2
         theta = theta + rate * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.999**r)) + 1e-8)
-    return Chain(theta[:-5], float(theta[-5]), theta[-4:].reshape(2, 2), mean, scale)
+    return Chain(theta[:-2], float(theta[-2]), theta[-1] * np.eye(2), mean, scale)

@@ -245,7 +245,8 @@ def _similar_size(t: Threshold, a: str, b: str):
 def _leader_links(dense: DataFrame, t: Threshold) -> DataFrame:
     """Verified links of classes to the leaders of their buckets."""
     buckets = dense.select("node", "n", "own", F.posexplode("minima").alias("i", "minimum"))
-    leaders = (
+    # Written, so that the join below is free to split a bucket with very many classes.
+    leaders = materialise(
         buckets.groupBy("i", "minimum")
         .agg(F.min(F.struct("own", "node", "n")).alias("leader"), F.count(F.lit(1)).alias("rows"))
         .where("rows > 1")
