@@ -36,7 +36,8 @@ def _sum_of_millionths(name: str) -> Column:
 class Leg:
     """Rows and the change applied to them.
 
-    where: column -> allowed values. above: discount must exceed it.
+    where: column -> allowed values. above: discount must exceed it. mask: any
+    further condition on the order rows. Rows must fulfil all that are given.
     One of discount, cut (percentage points) or growth (percent) is set;
     discount and above may name a data-driven parameter.
     response: change of units per unit of relative price change, signed.
@@ -48,6 +49,7 @@ class Leg:
     cut: float | None = None
     growth: float | None = None
     response: float = 0.0
+    mask: Column | None = field(default=None, compare=False)
 
 
 @dataclass(frozen=True)
@@ -129,6 +131,8 @@ def _mask(leg: Leg) -> Column:
     tests = [F.col(column).isin(*values) for column, values in leg.where.items()]
     if leg.above is not None:
         tests.append(F.col("discount_percent") > leg.above)
+    if leg.mask is not None:
+        tests.append(leg.mask)
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
@@ -142,7 +146,7 @@ def _selections(scenarios: Sequence[Scenario]) -> tuple[list[Column], list[tuple
     for n, scenario in enumerate(scenarios):
         for i, leg in enumerate(scenario.legs):
             later = scenario.legs[i + 1:]
-            key = repr([(x.where, x.above) for x in (leg, *later)])
+            key = repr([(x.where, x.above, str(x.mask)) for x in (leg, *later)])
             if key not in places:
                 places[key] = len(masks)
                 excluded = [~F.coalesce(_mask(x), F.lit(False)) for x in later]

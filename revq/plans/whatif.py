@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revq.functions.labels import discount_bracket, is_event, whatif_age_group
 from revq.functions.numeric import mean, ratio, rnd_even
 from revq.operators.repricing import Leg, Scenario, apply_where, reprice, run
+from revq.session import materialise
 
 # Labels, discounts, elasticities and rates of the catalogue.
 CAPS = (40, 38, 35)
@@ -181,6 +182,14 @@ def results(orders: DataFrame, scenarios: Sequence[Scenario] | None = None) -> D
     return run(rows, catalogue() if scenarios is None else scenarios, total, params)
 
 
+def summaries(orders: DataFrame, scenarios: Sequence[Scenario] | None = None) -> dict[str, DataFrame]:
+    """The results, written once, and the three tables read off them."""
+    result = materialise(results(orders, scenarios))
+    return {
+        "results": result, "ranked": ranked(result), "by_sim_type": by_sim_type(result), "portfolio": portfolio(result),
+    }
+
+
 def ranked(result: DataFrame) -> DataFrame:
     """The summary table: best revenue change first."""
     return result.orderBy(F.desc("revenue_delta"), "opportunity")

@@ -170,3 +170,29 @@ def test_unknown_parameter_selects_nothing(orders):
     assert got["OPP_01: Mass Brand Cap at 40%"] == 1
     assert got["OPP_01: Mass Brand Cap at n/a%"] == 0
     assert got["OPP_09: Inelastic Segments to Optimal Discount"] == 0
+
+
+def test_any_mask_can_be_a_scenario(orders):
+    df = orders(
+        {"customer_age": 70, "discount_percent": 25}, {"customer_age": 70, "discount_percent": 50},
+        {"customer_age": 30, "discount_percent": 25}, {"customer_age": None},
+    )
+    masks = [F.col("customer_age") > 60, F.col("discount_percent").between(20, 30), F.lit(False)]
+    scenarios = [Scenario(str(i), "discount_change", (Leg(discount=10, mask=m),)) for i, m in enumerate(masks)]
+    got = {r.opportunity: (r.rows_affected, float(r.actual_revenue_affected)) for r in whatif.results(df, scenarios).collect()}
+    assert got == {"0": (2, 125.0), "1": (2, 150.0), "2": (0, 0.0)}
+    for mask, (rows, _) in zip(masks, got.values()):
+        changed = whatif.discount_change(df, mask, 10, 0.8)
+        assert changed.where("discount_percent = 10").count() == rows
+
+
+def test_reallocation_leaves_other_events_alone(orders):
+    df = orders({"sales_event": "Festival"}, {"sales_event": "normal"}, {"sales_event": "Clearance"})
+    (row,) = [r for r in whatif.results(df).collect() if r.opportunity.startswith("OPP_10")]
+    assert row.rows_affected == 2
+
+
+def test_summaries_read_one_result(small_orders):
+    tables = whatif.summaries(small_orders)
+    assert tables["portfolio"].first().opportunities == tables["ranked"].count() == 28
+    assert sum(r.opportunities for r in tables["by_sim_type"].collect()) == 28
