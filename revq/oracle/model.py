@@ -97,6 +97,11 @@ def queries() -> dict[str, str]:
     result = {
         f"D0{i}_{name}": query(COLUMNS[name], body, over="stg") for i, (name, body) in enumerate(DIMS.items(), 1)
     }
+    result["S01_csv_import"] = query(
+        "order_id order_date state zone category brand_type customer_gender customer_age:b base_price:d "
+        "discount_percent:d final_price:d units_sold:b revenue:d sales_event competition_intensity inventory_pressure",
+        "SELECT * FROM stg", over="stg",
+    )
     result["D06_fact_orders"] = query(
         COLUMNS["fact_orders"], "SELECT * FROM fact_orders", *_star_ctes(), over="stg"
     )

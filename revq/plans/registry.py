@@ -10,14 +10,34 @@ from pyspark.sql import types as T
 
 from revq.functions.labels import register_sql_functions
 from revq.plans import adhoc, model, procedures, views, whatif
-from revq.session import materialise
+from revq.schema import FACT_ORDERS
+from revq.session import materialise, new_path
+from revq.sources import files
 from revq.sources.tables import stg_orders
 
 # States of the test tables that stand for the reference's lower-tier states.
 LOWER_TIER_STATES = ("NATION_3", "NATION_11", "NATION_20")
 STATE = "NATION_7"
+REFRESHED_YEARS = (1995, 1996)
+
+
+
+def _reimported(staging: DataFrame) -> DataFrame:
+    path = new_path(staging.sparkSession)
+    files.write_csv(staging, path)
+    return files.read_orders_csv(staging.sparkSession, path)
+
+
+def _written_facts(staging: DataFrame) -> DataFrame:
+    path = new_path(staging.sparkSession)
+    model.write_star(model.star(staging), path)
+    facts = staging.sparkSession.read.parquet(f"{path}/fact_orders")
+    return facts.select(FACT_ORDERS.names)
+
 
 FROM_STAGING = {
+    "S01_csv_import": _reimported,
+    "S07_written_facts": _written_facts,
     "D01_dim_date": model.dim_date,
     "D02_dim_state": model.dim_state,
     "D03_dim_product": model.dim_product,
@@ -66,6 +86,23 @@ def _shifted_spend(orders: DataFrame) -> DataFrame:
     return _rows(whatif.reallocation(orders, (festival, 10, 0.5), (normal, 3, 0.3)))
 
 
+def _by_sql_functions(orders: DataFrame) -> DataFrame:
+    register_sql_functions(orders.sparkSession)
+    return orders.sparkSession.sql(
+        """SELECT discount_band(discount_percent) AS discount_range, sum(revenue) AS revenue,
+        sum(units_sold) AS units,
+        sum(revenue_loss(base_price, discount_percent, units_sold)) AS revenue_forfeited
+        FROM {orders} GROUP BY 1""",
+        orders=orders,
+    )
+
+
+def _refreshed(orders: DataFrame) -> DataFrame:
+    path = new_path(orders.sparkSession)
+    procedures.refresh_monthly_summary(orders, path)
+    return procedures.refresh_monthly_summary(orders, path, years=REFRESHED_YEARS)
+
+
 def _results(orders: DataFrame) -> DataFrame:
     return whatif.results(orders, whatif.catalogue(LOWER_TIER_STATES))
 
@@ -86,6 +123,8 @@ FROM_ORDERS = {
     "Q13_margin_risk_pockets": adhoc.margin_risk_pockets,
     **VIEWS,
     "P01_monthly_summary": procedures.monthly_summary,
+    "U01_sql_functions": _by_sql_functions,
+    "U03_refreshed_summary": _refreshed,
     "P02_state_performance": lambda orders: procedures.state_performance(orders, STATE),
     "R01_discount_change": _mass_cap,
     "R02_volume_growth": _more_volume,

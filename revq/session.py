@@ -36,21 +36,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, removed by `release` or when the application ends."""
+    path = f"{shared_folder(spark)}/revq-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back.
+    """Write `df` as a table at a new place in the shared folder and read it back.
 
-    Later reads survive a lost executor and know the table's size. The table
-    lives until `release` is called or the application ends.
+    Later reads survive a lost executor and know the table's size.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/revq-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    spark, path = df.sparkSession, new_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Remove the tables `materialise` wrote; results that still read them end here."""
+    """Remove what was written to new places; results that still read it end here."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for entry in [e for e in _written if e[0] is spark]:
         path = jvm.org.apache.hadoop.fs.Path(entry[1])
