@@ -7,7 +7,6 @@ columns of documents. Rows repeat after the fourth stage, once per copy in the m
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from revq.llm import classifier, jaccard, lines, mixing, packing
 from revq.llm.tables import table
-from revq.session import shared_folder
+from revq.session import new_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -68,7 +67,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """All stages over the documents of a folder, written to the shared folder between stages."""
     docs = table(spark, folder, "documents")
-    work = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    work = new_path(spark)
     for number, (_, stage) in enumerate(STAGES):
         stage(spark, docs, folder).write.parquet(f"{work}/{number}")
         docs = spark.read.parquet(f"{work}/{number}")

@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from revq.session import materialise, shared_folder
+from revq.session import materialise, new_path
 
 BLANK_SET = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -61,7 +61,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, buckets: int, fanout: int = 2):
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
-        self.folder = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+        self.folder = new_path(spark)
         self.levels: list[list[str]] = []
 
     def _write(self, run: DataFrame) -> str:

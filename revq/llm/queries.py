@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from revq.llm import (
 )
 from revq.llm.tables import table
 from revq.llm.training import held_out
-from revq.session import materialise, shared_folder
+from revq.session import materialise, new_path
 
 
 def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +39,7 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     toxic = counts.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     by = {"words-1": F.col("words"), "bytes-1": F.col("bytes")}
     clean_by = {"words-1": F.col("clean_words"), "bytes-1": F.col("clean_bytes")}
-    rollup = rollups.TokenRollup(spark, f"{shared_folder(spark)}/rollup-{uuid.uuid4().hex}")
+    rollup = rollups.TokenRollup(spark, new_path(spark))
     rollup.commit("load", rollups.counted(counts, by))
     rollup.commit("recount", rollups.counted(poor, clean_by))
     rollup.commit("recount", rollups.counted(poor, clean_by))
