@@ -15,7 +15,7 @@ from revq.session import materialise, new_path
 from revq.sources import files
 from revq.sources.tables import stg_orders
 
-# States of the test tables that stand for the reference's lower-tier states.
+# States of the test tables that stand for the catalogue's lower-tier states.
 LOWER_TIER_STATES = ("NATION_3", "NATION_11", "NATION_20")
 STATE = "NATION_7"
 REFRESHED_YEARS = (1995, 1996)
