@@ -22,7 +22,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the line classifier does not reject."""
     model = classifier.fit(table(spark, folder, "documents"), table(spark, folder, "labels"))
-    return classifier.with_scores(docs.select(COLUMNS), model, "_score").where(F.col("_score") >= classifier.LEAST_SCORE).select(COLUMNS)
+    scored = classifier.with_scores(docs.select(COLUMNS), model, "_score")
+    return scored.where(F.col("_score") >= classifier.LEAST_SCORE).select(COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -66,7 +66,10 @@ def test_edges(spark):
 
 def test_runs_are_compacted_and_later_batches_see_them(spark):
     runs = LineRuns(spark, buckets=3, fanout=2)
-    batch = lambda ids, keys: spark.createDataFrame([(k, k, i) for i in ids for k in keys], "h1 long, h2 long, doc_id long")
+
+    def batch(ids, keys):
+        return spark.createDataFrame([(k, k, i) for i in ids for k in keys], "h1 long, h2 long, doc_id long")
+
     assert runs.add(batch([9], [1, 2])).where("keeper IS NULL").count() == 0
     runs.add(batch([7, 8], [2, 3]))
     third = runs.add(batch([5, 6], [3, 4]))

@@ -37,7 +37,10 @@ def test_random_batches_equal_a_recount(spark, tmp_path):
     assert totals(rollup) == {}
     for i in range(4):
         batch = [
-            (rnd.randint(0, 60), rnd.choice("vw"), rnd.choice(["a", "b", None]), "en", rnd.choice([None, 3, 10]), rnd.random() < 0.2)
+            (
+                rnd.randint(0, 60), rnd.choice("vw"), rnd.choice(["a", "b", None]), "en",
+                rnd.choice([None, 3, 10]), rnd.random() < 0.2,
+            )
             for _ in range(80)
         ]
         batches.append(batch)
@@ -79,4 +82,5 @@ def test_tokenizers(spark):
     by_file = {r.doc_id: r.tokens for r in rollups.counted_by_file(docs, "bpe-50k", path).collect()}
     tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    assert by_file == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(["a bé  c", "", "<|endoftext|> x"])}
+    texts = ["a bé  c", "", "<|endoftext|> x"]
+    assert by_file == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}

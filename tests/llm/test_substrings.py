@@ -40,7 +40,8 @@ def passages(seed):
     for _ in range(80):
         parts = []
         for _ in range(rnd.randint(0, 4)):
-            parts += rnd.choice(pool)[rnd.randint(0, 3) :] if rnd.random() < 0.7 else [str(rnd.random()) for _ in range(rnd.randint(1, 20))]
+            own = [str(rnd.random()) for _ in range(rnd.randint(1, 20))]
+            parts += rnd.choice(pool)[rnd.randint(0, 3) :] if rnd.random() < 0.7 else own
         texts.append(rnd.choice([" ", "\n", "  "]).join(parts))
     return texts
 
