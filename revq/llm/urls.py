@@ -8,9 +8,9 @@ the longer it is. Multinomial naive Bayes scores the words of host and path.
 
 Word counts come from all urls: words that stand alone between separators of a path or
 inside a hyphenated label; a plain label does not count, as it may be several words. The
-`vocabulary` most frequent ones are kept, and a fixed list of known words with them. Naive
-Bayes is fitted on at most `sample_rows` urls chosen by hash, which are marked bad if
-their host holds a word of the fixed list of bad words.
+most frequent ones are kept, `vocabulary` at most, and a fixed list of known words with
+them. Naive Bayes is fitted on at most `sample_rows` different urls chosen by hash, which
+are marked bad if their host holds a word of the fixed list of bad words.
 
 A null url, or one without ://, has an empty host and path; no rule fits and the method
 judges it by its class shares alone. Repeated rows are judged alike. If the sample holds
@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 
 from revq.llm.blocks import Batches
 from revq.llm.lines import UPPER
+from revq.llm.training import sampled
+from revq.session import materialise
 
 VOCABULARY = 50_000
 SAMPLE_ROWS = 20_000
@@ -129,22 +131,27 @@ class Model:
 def fit(urls: DataFrame, vocabulary: int = VOCABULARY, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Word model and naive Bayes from a table of urls."""
     split = urls.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    counted = (
+    counted = materialise(
         split.select(F.explode(F.concat(_hyphen_words(F.col("host")), _path_words(F.col("path")))).alias("word"))
         .where(F.length("word") <= LONGEST_WORD)
         .groupBy("word").count()
-        .orderBy(F.desc("count"), "word").limit(vocabulary).collect()
     )
-    counts = {r["word"]: r["count"] for r in counted}
+    # Words by the power of two their count reaches: 64 rows at most. Taking whole powers
+    # needs no sort of all words.
+    reached = sorted(counted.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.count(F.lit(1))).collect(), reverse=True)
+    least, words = 62, 0
+    for power, n in reached:
+        if words + n > vocabulary:
+            break
+        least, words = power, words + n
+    counts = {r["word"]: r["count"] for r in counted.where(F.col("count") >= (1 << least)).collect()}
     floor = max(1.0, sum(counts.values()) / 10_000)
     for word in (*KNOWN_WORDS, *BAD_WORDS):
         counts[word] = max(counts.get(word, 0), floor)
     total = sum(counts.values())
     model = Model({w: math.log(c / total) for w, c in counts.items()}, math.log(10 / total), {}, 0.0, 0.0)
 
-    sample = (
-        split.where("host <> ''").orderBy(F.xxhash64("host", "path"), "host", "path").limit(sample_rows).collect()
-    )
+    sample = sampled(split.where("host <> ''").distinct(), ["host", "path"], sample_rows).orderBy("host", "path").collect()
     seen: dict[bool, dict[str, int]] = {True: {}, False: {}}
     rows = {True: 0, False: 0}
     for host, path in sample:
