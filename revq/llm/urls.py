@@ -8,12 +8,16 @@ the longer it is. Multinomial naive Bayes scores the words of host and path.
 
 Word counts come from all urls: words that stand alone between separators of a path or
 inside a hyphenated label; a plain label does not count, as it may be several words. The
-most frequent ones are kept, `vocabulary` at most, and a fixed list of known words with
-them. Naive Bayes is fitted on at most `sample_rows` different urls chosen by hash, which
-are marked bad if their host holds a word of the fixed list of bad words.
+most frequent ones are kept, `VOCABULARY` at most, and a fixed list of known words with
+them. Naive Bayes is fitted on all different urls, which are marked bad if their host
+holds a word of the fixed list of bad words.
+
+Urls are met in bounded blocks. A block sends each piece of its names once to the table of
+words and learns which are words; the same goes for the odds of its tokens. So a word that
+every url holds is one row per block, and neither words nor tokens are gathered anywhere.
 
 A null url, or one without ://, has an empty host and path; no rule fits and the method
-judges it by its class shares alone. Repeated rows are judged alike. If the sample holds
+judges it by its class shares alone. Repeated rows are judged alike. If the urls hold
 one class only, the method allows everything. Empty tables give empty results; null page
 ids are carried along. Columns other than page_id and url are not looked at.
 """
@@ -21,22 +25,24 @@ ids are carried along. Columns other than page_id and url are not looked at.
 from __future__ import annotations
 
 import math
-import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from revq.llm.blocks import Batches
+from revq.llm.blocks import with_answers
 from revq.llm.lines import UPPER
-from revq.llm.training import sampled
 from revq.session import materialise
 
 VOCABULARY = 50_000
-SAMPLE_ROWS = 20_000
+# Bytes of urls in a block, and the least number of blocks.
+BLOCK_BYTES = 256 << 10
+LEAST_BLOCKS = 64
 LONGEST_WORD = 24
 
 # Host, path and verdict; the longest that fits decides.
@@ -95,8 +101,15 @@ def _hyphen_words(host: Column) -> Column:
     return F.filter(F.split(F.array_join(labels, "-"), "[^a-z]+"), lambda w: F.length(w) > 0)
 
 
+def _names(text: Column) -> Column:
+    """The names of a host or path: its runs of letters."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+
+
 @dataclass
 class Model:
+    """What is known of some words and tokens; a task builds one for each of its blocks."""
+
     words: dict[str, float]  # log of a word's share
     unknown: float  # log of the share of an unknown word of one letter
     tokens: dict[str, float]  # log odds of bad over good
@@ -119,17 +132,84 @@ class Model:
             end = best[end][1]
         return words[::-1]
 
-    def parts(self, host: str, path: str) -> list[str]:
-        """Words of the host, marked h, and of the path, marked p."""
-        found = [f"h:{w}" for name in re.findall("[a-z]+", host) for w in self.split(name)]
-        return found + [f"p:{w}" for name in re.findall("[a-z]+", path.lower()) for w in self.split(name)]
+    def parts(self, urls: pa.Table) -> Iterator[list[str]]:
+        """Per url, words of the names of the host, marked h, and of the path, marked p."""
+        split = cache(self.split)
+        for host, path in zip(urls["host_names"].to_pylist(), urls["path_names"].to_pylist()):
+            found = [f"h:{w}" for name in host for w in split(name)]
+            yield found + [f"p:{w}" for name in path for w in split(name)]
+
+
+@dataclass
+class Fitted:
+    """A model of any number of words and tokens, as tables."""
+
+    words: DataFrame  # word, p
+    unknown: float
+    tokens: DataFrame  # token, odds
+    other: float
+    prior: float
+
+    @classmethod
+    def of(cls, spark: SparkSession, model: Model) -> Fitted:
+        words = spark.createDataFrame(list(model.words.items()), "word string, p double")
+        tokens = spark.createDataFrame(list(model.tokens.items()), "token string, odds double")
+        return cls(words, model.unknown, tokens, model.other, model.prior)
+
+
+def _in_blocks(urls: DataFrame, key: Column) -> DataFrame:
+    """Urls written with a block by the hash of a key; rows with names of host and path."""
+    letters = urls.agg(F.sum(F.octet_length("host") + F.octet_length("path"))).first()[0] or 0
+    blocks = max(LEAST_BLOCKS, letters // BLOCK_BYTES + 1)
+    rows = materialise(urls.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))))
+    return rows.withColumns({"host_names": _names(F.col("host")), "path_names": _names(F.col("path"))})
 
-    def log_odds(self, host: str, path: str) -> float:
-        return self.prior + sum(self.tokens.get(t, self.other) for t in self.parts(host, path))
 
+def _words_of(urls: DataFrame, words: DataFrame) -> DataFrame:
+    """block, word, p: the words that occur anywhere in the names of a block, once per block."""
+    names = urls.select("block", F.explode(F.array_union("host_names", "path_names")).alias("name")).distinct()
+    starts = names.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("name"))))
+    pieces = starts.select("block", F.substring("name", F.col("start"), F.lit(LONGEST_WORD)).alias("piece")).distinct()
+    heads = F.expr("transform(sequence(1, length(piece)), n -> left(piece, n))")
+    sent = pieces.select("block", F.explode(heads).alias("word")).distinct()
+    return materialise(sent.join(words, "word").select("block", "word", "p"))
 
-def fit(urls: DataFrame, vocabulary: int = VOCABULARY, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Word model and naive Bayes from a table of urls."""
+
+def _odds_of(urls: DataFrame, words: DataFrame, fitted: Fitted) -> DataFrame:
+    """block, token, odds: the tokens of a block, once per block."""
+    unknown = fitted.unknown
+
+    def used(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = Model(dict(zip(right["word"].to_pylist(), right["p"].to_pylist())), unknown, {}, 0.0, 0.0)
+        found = sorted({t for parts in model.parts(left) for t in parts})
+        block = left["block"].to_pylist()[:1] * len(found)
+        return pa.table({"block": pa.array(block, pa.int64()), "token": pa.array(found, pa.string())})
+
+    return with_answers(urls, words, used, "block long, token string").join(fitted.tokens, "token").select("block", "token", "odds")
+
+
+def _counted(urls: DataFrame, words: DataFrame, unknown: float) -> DataFrame:
+    """token, bad, good: how often each token is in urls of either class; the null token counts the urls."""
+
+    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = Model(dict(zip(right["word"].to_pylist(), right["p"].to_pylist())), unknown, {}, 0.0, 0.0)
+        seen: dict[bool, Counter[str | None]] = {True: Counter(), False: Counter()}
+        for parts in model.parts(left):
+            bad = any(p.startswith("h:") and p[2:] in BAD_WORDS for p in parts)
+            seen[bad].update([None, *parts])
+        names = list(seen[True] | seen[False])
+        return pa.table({
+            "token": pa.array(names, pa.string()),
+            "bad": pa.array([seen[True][t] for t in names], pa.int64()),
+            "good": pa.array([seen[False][t] for t in names], pa.int64()),
+        })
+
+    seen = with_answers(urls, words, count, "token string, bad long, good long")
+    return materialise(seen.groupBy("token").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")))
+
+
+def fit(urls: DataFrame) -> Fitted:
+    """Word model and naive Bayes from all rows of a table of urls."""
     split = urls.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     counted = materialise(
         split.select(F.explode(F.concat(_hyphen_words(F.col("host")), _path_words(F.col("path")))).alias("word"))
@@ -139,54 +219,54 @@ def fit(urls: DataFrame, vocabulary: int = VOCABULARY, sample_rows: int = SAMPLE
     # Words by the power of two their count reaches: 64 rows at most. Taking whole powers
     # needs no sort of all words.
     reached = sorted(counted.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.count(F.lit(1))).collect(), reverse=True)
-    least, words = 62, 0
+    least, kept = 62, 0
     for power, n in reached:
-        if words + n > vocabulary:
+        if kept + n > VOCABULARY:
             break
-        least, words = power, words + n
-    counts = {r["word"]: r["count"] for r in counted.where(F.col("count") >= (1 << least)).collect()}
-    floor = max(1.0, sum(counts.values()) / 10_000)
-    for word in (*KNOWN_WORDS, *BAD_WORDS):
-        counts[word] = max(counts.get(word, 0), floor)
-    total = sum(counts.values())
-    model = Model({w: math.log(c / total) for w, c in counts.items()}, math.log(10 / total), {}, 0.0, 0.0)
-
-    sample = sampled(split.where("host <> ''").distinct(), ["host", "path"], sample_rows).orderBy("host", "path").collect()
-    seen: dict[bool, dict[str, int]] = {True: {}, False: {}}
-    rows = {True: 0, False: 0}
-    for host, path in sample:
-        parts = model.parts(host, path)
-        bad = any(p.removeprefix("h:") in BAD_WORDS for p in parts if p.startswith("h:"))
-        rows[bad] += 1
-        for p in parts:
-            seen[bad][p] = seen[bad].get(p, 0) + 1
-    if not rows[True] or not rows[False]:
-        model.prior = -1.0
-        return model
-    names = set(seen[True]) | set(seen[False])
-    sums = {k: sum(v.values()) + len(names) + 1 for k, v in seen.items()}
-    odds = lambda a, b: math.log((a + 1) / sums[True]) - math.log((b + 1) / sums[False])
-    model.tokens = {t: odds(seen[True].get(t, 0), seen[False].get(t, 0)) for t in names}
-    model.prior = math.log(rows[True] / rows[False])
-    return model
-
-
-def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, and log odds of being bad; no shuffle."""
+        least, kept = power, kept + n
+    counted = counted.where(F.col("count") >= (1 << least))
+    floor = max(1.0, (counted.agg(F.sum("count")).first()[0] or 0) / 10_000)
+    fixed = urls.sparkSession.createDataFrame([(w, floor) for w in {*KNOWN_WORDS, *BAD_WORDS}], "word string, count double")
+    counts = counted.union(fixed).groupBy("word").agg(F.max("count").alias("count"))
+    total = counts.agg(F.sum("count")).first()[0]
+    words = materialise(counts.select("word", F.log(F.col("count") / total).alias("p")))
+    unknown = math.log(10 / total)
+
+    known = _in_blocks(split.where("host <> ''").distinct(), F.struct("host", "path"))
+    seen = _counted(known, _words_of(known, words), unknown)
+    rows = seen.where("token IS NULL").first()
+    seen = seen.where("token IS NOT NULL")
+    if not rows or not rows["bad"] or not rows["good"]:
+        return Fitted(words, unknown, seen.select("token", F.lit(0.0).alias("odds")).limit(0), 0.0, -1.0)
+    sums = seen.agg(F.sum("bad"), F.sum("good"), F.count(F.lit(1))).first()
+    share = lambda name, n: F.log((F.col(name) + 1) / F.lit(float(n + sums[2] + 1)))
+    tokens = seen.select("token", (share("bad", sums[0]) - share("good", sums[1])).alias("odds"))
+    return Fitted(words, unknown, tokens, 0.0, math.log(rows["bad"] / rows["good"]))
+
+
+def judge(pages: DataFrame, model: Fitted | Model, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, and log odds of being bad, in the order of the rows."""
+    fitted = Fitted.of(pages.sparkSession, model) if isinstance(model, Model) else model
     host, path = host_of(F.col("url")), path_of(F.col("url"))
-    split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rule, decided = by_rules(F.col("host"), F.col("path"), rules)
-    split = split.withColumns({"rule": rule, "decided": decided})
+    split = pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))
+    # Blocks of rows, so that a url of many rows is in many blocks.
+    urls = _in_blocks(split, F.col("row"))
+    words = _words_of(urls, fitted.words)
+    facts = words.select("block", "word", "p", F.lit(None).cast("string").alias("token")).unionByName(
+        _odds_of(urls, words, fitted).select("block", F.lit(None).cast("string").alias("word"), F.col("odds").alias("p"), "token")
+    )
+    unknown, other, prior = fitted.unknown, fitted.other, fitted.prior
 
-    def scored(batches: Batches) -> Batches:
-        # Hosts and paths of a crawl repeat; a bounded memory of them is kept.
-        odds = lru_cache(maxsize=100_000)(model.log_odds)
-        for batch in batches:
-            values = [odds(h, p) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist())]
-            yield batch.append_column("log_odds", pa.array(values, pa.float64()))
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = list(zip(right["word"].to_pylist(), right["token"].to_pylist(), right["p"].to_pylist()))
+        odds = {t: p for _, t, p in known if t is not None}
+        model = Model({w: p for w, _, p in known if w is not None}, unknown, odds, other, prior)
+        values = [prior + sum(odds.get(t, other) for t in parts) for parts in model.parts(left)]
+        return left.select(["page_id", "host", "path", "row"]).append_column("log_odds", pa.array(values, pa.float64()))
 
     schema = T.StructType([*split.schema.fields, T.StructField("log_odds", T.DoubleType())])
-    verdict = F.coalesce("decided", F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
-    return split.mapInArrow(scored, schema).select(
-        "page_id", "host", "path", "rule", verdict.alias("verdict"), "log_odds"
+    rule, decided = by_rules(F.col("host"), F.col("path"), rules)
+    verdict = F.coalesce(decided, F.when(F.col("log_odds") > 0, "block").otherwise("allow"))
+    return with_answers(urls, facts, scored, schema).orderBy("row").select(
+        "page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "log_odds"
     )

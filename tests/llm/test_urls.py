@@ -2,6 +2,7 @@
 
 import itertools
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,3 +86,33 @@ def test_empty_tables_and_repeated_rows(spark):
     twice = spark.createDataFrame([(1, "http://a.net/x")] * 2 + [(None, None)], SCHEMA)
     rows = urls.judge(twice, urls.fit(twice)).collect()
     assert len(rows) == 3 and rows[0] == rows[1] and {r.verdict for r in rows} == {"allow"}
+
+
+def test_all_urls_decide_not_a_sample(spark):
+    hosts = ["garden-books.net", "garden-plants.net", "daily-news.net"]
+    rows = [f"http://{hosts[i % 3]}/en/{i}" for i in range(24_000)] + ["http://viagra.net/en/x", "http://cheap-viagra.net/buy"]
+    pages = spark.createDataFrame(list(enumerate([*rows, rows[-1]])), SCHEMA)
+    fitted = urls.fit(pages)
+    known = urls.Model({r.word: r.p for r in fitted.words.collect()}, fitted.unknown, {}, 0.0, 0.0)
+
+    def tokens(url):
+        return [
+            f"{kind}:{w}" for kind, text in zip("hp", split(url), strict=True)
+            for name in "".join(c if c.isalpha() else " " for c in text).split() for w in known.split(name)
+        ]
+
+    seen, n = {True: Counter(), False: Counter()}, Counter()
+    for url in rows:
+        bad = "viagra" in url
+        seen[bad].update(tokens(url))
+        n[bad] += 1
+    names = seen[True] | seen[False]
+    sums = {k: v.total() + len(names) + 1 for k, v in seen.items()}
+    got = {r.page_id: r.log_odds for r in urls.judge(pages, fitted).collect()}
+    assert len(got) == len(rows) + 1
+    for i in (0, 1, 2, 24_000, 24_001, 24_002):
+        want = math.log(n[True] / n[False]) + sum(
+            math.log((seen[True][t] + 1) / sums[True]) - math.log((seen[False][t] + 1) / sums[False])
+            for t in tokens(([*rows, rows[-1]])[i])
+        )
+        assert got[i] == pytest.approx(want)
