@@ -7,8 +7,8 @@ product of word probabilities wins (Viterbi), where an unknown word costs the mo
 the longer it is. Multinomial naive Bayes scores the words of host and path.
 
 Word counts come from all urls: words that stand alone between separators of a path or
-inside a hyphenated label; a plain label does not count, as it may be several words. The
-most frequent ones are kept, `VOCABULARY` at most, and a fixed list of known words with
+inside a hyphenated label; a plain label does not count, as it may be several words. All
+of them are kept, of any length and however rare, and a fixed list of known words with
 them. Naive Bayes is fitted on all different urls, which are marked bad if their host
 holds a word of the fixed list of bad words.
 
@@ -39,11 +39,11 @@ from revq.llm.blocks import with_answers
 from revq.llm.lines import UPPER
 from revq.session import materialise
 
-VOCABULARY = 50_000
 # Bytes of urls in a block, and the least number of blocks.
 BLOCK_BYTES = 256 << 10
 LEAST_BLOCKS = 64
-LONGEST_WORD = 24
+# Letters of a piece of a name; longer words are found by their first piece.
+LONGEST_PIECE = 24
 
 # Host, path and verdict; the longest that fits decides.
 RULES = (
@@ -116,16 +116,30 @@ class Model:
     other: float  # the same of a token never seen
     prior: float
 
+    def __post_init__(self):
+        # Lengths of the words longer than a piece, by their first piece.
+        found: dict[str, set[int]] = {}
+        for w in self.words:
+            if len(w) > LONGEST_PIECE:
+                found.setdefault(w[:LONGEST_PIECE], set()).add(len(w))
+        self.longer = {piece: sorted(lengths) for piece, lengths in found.items()}
+
     def split(self, name: str) -> list[str]:
         """The most probable words whose concatenation is the name; names are of letters only."""
         best = [(0.0, 0)] + [(-math.inf, 0)] * len(name)
-        for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST_WORD), end):
-                word = name[start:end]
-                # An unknown word costs a factor 10 for every letter.
-                p = self.words.get(word, self.unknown - (end - start) * math.log(10))
-                if best[start][0] + p > best[end][0]:
-                    best[end] = (best[start][0] + p, start)
+        begun = 0
+        for start in range(len(name)):
+            so_far = best[start][0]
+            # The unknown word that ends here begins where that is best. It costs a factor 10 for every letter.
+            unknown = [(best[s][0] + self.unknown - (start + 1 - s) * math.log(10), s) for s in (begun, start)]
+            p, begun = unknown[unknown[1][0] > unknown[0][0]]
+            if p > best[start + 1][0]:
+                best[start + 1] = (p, begun)
+            known = range(1, min(LONGEST_PIECE, len(name) - start) + 1)
+            for n in (*known, *self.longer.get(name[start : start + LONGEST_PIECE], ())):
+                p = self.words.get(name[start : start + n]) if start + n <= len(name) else None
+                if p is not None and so_far + p > best[start + n][0]:
+                    best[start + n] = (so_far + p, start)
         words, end = [], len(name)
         while end:
             words.append(name[best[end][1] : end])
@@ -166,12 +180,27 @@ def _in_blocks(urls: DataFrame, key: Column) -> DataFrame:
 
 
 def _words_of(urls: DataFrame, words: DataFrame) -> DataFrame:
-    """block, word, p: the words that occur anywhere in the names of a block, once per block."""
+    """block, word, p: the words that occur anywhere in the names of a block, once per block.
+
+    Words up to a piece long are met by all substrings of that length. A longer word is met
+    where its first piece occurs: the block asks for the lengths of the words that begin with it.
+    """
     names = urls.select("block", F.explode(F.array_union("host_names", "path_names")).alias("name")).distinct()
     starts = names.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("name"))))
-    pieces = starts.select("block", F.substring("name", F.col("start"), F.lit(LONGEST_WORD)).alias("piece")).distinct()
+    starts = starts.withColumn("piece", F.substring("name", F.col("start"), F.lit(LONGEST_PIECE)))
     heads = F.expr("transform(sequence(1, length(piece)), n -> left(piece, n))")
-    sent = pieces.select("block", F.explode(heads).alias("word")).distinct()
+    sent = starts.select("block", "piece").distinct().select("block", F.explode(heads).alias("word"))
+
+    longer = words.where(F.length("word") > LONGEST_PIECE).select(
+        F.left("word", F.lit(LONGEST_PIECE)).alias("piece"), F.length("word").alias("n")
+    )
+    whole = starts.where(F.col("start") + LONGEST_PIECE <= F.length("name"))
+    asked = whole.select("block", "piece").distinct().join(longer.distinct(), "piece")
+    asked = asked.select(F.col("block").alias("in_block"), F.col("piece").alias("first"), "n")
+    same = (F.col("block") == F.col("in_block")) & (F.col("piece") == F.col("first"))
+    fits = F.col("start") + F.col("n") - 1 <= F.length("name")
+    long_sent = whole.join(asked, same & fits).select("block", F.substring("name", F.col("start"), F.col("n")).alias("word"))
+    sent = sent.unionByName(long_sent).distinct()
     return materialise(sent.join(words, "word").select("block", "word", "p"))
 
 
@@ -213,18 +242,8 @@ def fit(urls: DataFrame) -> Fitted:
     split = urls.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     counted = materialise(
         split.select(F.explode(F.concat(_hyphen_words(F.col("host")), _path_words(F.col("path")))).alias("word"))
-        .where(F.length("word") <= LONGEST_WORD)
         .groupBy("word").count()
     )
-    # Words by the power of two their count reaches: 64 rows at most. Taking whole powers
-    # needs no sort of all words.
-    reached = sorted(counted.groupBy(F.floor(F.log2("count")).alias("power")).agg(F.count(F.lit(1))).collect(), reverse=True)
-    least, kept = 62, 0
-    for power, n in reached:
-        if kept + n > VOCABULARY:
-            break
-        least, kept = power, kept + n
-    counted = counted.where(F.col("count") >= (1 << least))
     floor = max(1.0, (counted.agg(F.sum("count")).first()[0] or 0) / 10_000)
     fixed = urls.sparkSession.createDataFrame([(w, floor) for w in {*KNOWN_WORDS, *BAD_WORDS}], "word string, count double")
     counts = counted.union(fixed).groupBy("word").agg(F.max("count").alias("count"))

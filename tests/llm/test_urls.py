@@ -116,3 +116,34 @@ def test_all_urls_decide_not_a_sample(spark):
             for t in tokens(([*rows, rows[-1]])[i])
         )
         assert got[i] == pytest.approx(want)
+
+
+def test_no_counted_word_is_dropped(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    many = ["q" + "".join(w) for w in itertools.islice(itertools.product(letters, repeat=4), 50_100)]
+    rows = [f"http://a.net/{'/'.join(many[i::100])}" for i in range(100)]
+    stem = "abcdefghijklmnopqrstuvwx"
+    long = [stem, stem + "yz", stem + "yzyz", stem[1:] + "yzyz", "z" * 60]
+    rows += [f"http://{w}.net/x/{w}" for w in long] + [f"http://xx{stem}yzyzqaaab.net/{'z' * 70}/qaaabqzzzz"]
+    pages = spark.createDataFrame(list(enumerate(rows)), SCHEMA)
+    fitted = urls.fit(pages)
+    words = {r.word: r.p for r in fitted.words.collect()}
+    assert set(many) | set(long) <= set(words)
+
+    block = pages.where("page_id >= 100").select(
+        F.lit(0).cast("long").alias("block"),
+        urls._names(urls.host_of(F.col("url"))).alias("host_names"), urls._names(urls.path_of(F.col("url"))).alias("path_names"),
+    )
+    names = {n for r in block.collect() for n in (*r.host_names, *r.path_names)}
+    held = {r.word: r.p for r in urls._words_of(block, fitted.words).collect()}
+    assert held == {w: p for w, p in words.items() if any(w in n for n in names)}
+
+    known = urls.Model(held, fitted.unknown, {}, 0.0, 0.0)
+    cost = lambda w: words.get(w, fitted.unknown - len(w) * math.log(10))
+    for name in names:
+        best = [0.0] + [-math.inf] * len(name)
+        for a, b in sorted(itertools.combinations(range(len(name) + 1), 2)):
+            best[b] = max(best[b], best[a] + cost(name[a:b]))
+        parts = known.split(name)
+        assert "".join(parts) == name and sum(map(cost, parts)) == pytest.approx(best[-1])
+    assert known.split(stem + "yzyz") == [stem + "yzyz"]
