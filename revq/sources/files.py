@@ -17,7 +17,7 @@ OPEN_NAMES = ("order_id", "state", "zone", "category", "customer_gender")
 
 
 def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """The CSV files under `paths`, by their first line; one line of each file is read."""
+    """The CSV files under `paths`, by their first line that is not blank; no more of each file is read."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     found: dict[str, list[str]] = {}
 
@@ -30,8 +30,11 @@ def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
             return
         lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(files.open(status.getPath()), "UTF-8"))
         header = lines.readLine()
+        # Spark skips empty lines and lines of spaces, and so does this.
+        while header is not None and not header.strip(" "):
+            header = lines.readLine()
         lines.close()
-        if header:
+        if header is not None:
             found.setdefault(header.removeprefix("\ufeff"), []).append(status.getPath().toString())
 
     for path in paths:

@@ -110,6 +110,22 @@ def test_csv_files_keep_their_own_column_order(spark, staging, tmp_path):
     assert sorted((r.state, r.zone) for r in back.collect()) == [("Delhi", "North"), ("Goa", "West")]
 
 
+def test_csv_files_that_begin_with_blank_lines_are_read(spark, staging, tmp_path):
+    df = staging({"state": "Goa"}, {"state": "Delhi"}, {"state": "Kerala"})
+    for i, start in enumerate(("", "\n", "\n  \n\n")):
+        files.write_csv(df.where(F.col("order_id") == f"o{i}").coalesce(1), str(tmp_path / f"part{i}"))
+        [part] = (tmp_path / f"part{i}").glob("*.csv")
+        (tmp_path / f"{i}.csv").write_text(start + part.read_text())
+    (tmp_path / "blank.csv").write_text("\n \n")
+    back = files.read_orders_csv(spark, str(tmp_path / "*.csv"))
+    assert sorted(r.state for r in back.collect()) == ["Delhi", "Goa", "Kerala"]
+    with pytest.raises(FileNotFoundError):
+        files.read_orders_csv(spark, str(tmp_path / "blank.csv"))
+    (tmp_path / "3.csv").write_text("\t\n" + part.read_text())
+    with pytest.raises(ValueError, match="order_id"):
+        files.read_orders_csv(spark, str(tmp_path / "*.csv"))
+
+
 def test_left_out_rows_are_reported(staging):
     report = model.load_report(staging({}, {"state": None}, {"sales_event": None}, {"customer_age": None}, {"order_id": "o0"}))
     found = {(r.rule, r["columns"]): r.violations for r in report.where("violations > 0").collect()}
