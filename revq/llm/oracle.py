@@ -33,6 +33,13 @@ each AS (SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM kept
 SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM each GROUP BY ALL
 """
 
+LOADED = f"""
+WITH counts AS (SELECT source, lang, len({WORDS}) AS words, strlen(coalesce(text, '')) AS bytes FROM documents),
+each AS (SELECT source, lang, 'words-1' AS tokenizer, words AS n FROM counts
+         UNION ALL SELECT source, lang, 'bytes-1', bytes FROM counts)
+SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM each GROUP BY ALL
+"""
+
 SUBSTRINGS = f"""
 WITH docs AS (SELECT doc_id, {WORDS} AS ws FROM documents),
 words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM docs),
@@ -65,6 +72,7 @@ FROM marked GROUP BY doc_id
 SQL: dict[str, str] = {
     "op1_ngram_jaccard": JACCARD,
     "op2_token_counts": TOKENS,
+    "op2_loaded_counts": LOADED,
     "op3_substring_dedup": SUBSTRINGS,
     "op7_line_dedup": LINES,
 }

@@ -47,6 +47,15 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return rollup.totals()
 
 
+def op2_loaded_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of all documents as they are: the state after the load alone."""
+    text = F.col("text")
+    by = {"words-1": rollups.words(text), "bytes-1": rollups.utf8_bytes(text)}
+    rollup = rollups.TokenRollup(spark, new_path(spark))
+    rollup.commit("load", rollups.counted(table(spark, folder, "documents"), by))
+    return rollup.totals()
+
+
 def op4_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -90,6 +99,7 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_counts": op2_token_counts,
+    "op2_loaded_counts": op2_loaded_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_nearest_neighbours": op5_nearest_neighbours,

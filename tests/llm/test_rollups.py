@@ -7,7 +7,7 @@ import corpus
 import pytest
 from pyspark.sql import functions as F
 
-from revq.llm import rollups
+from revq.llm import queries, rollups
 from revq.llm.rollups import LEDGER, TokenRollup
 
 
@@ -84,3 +84,14 @@ def test_tokenizers(spark):
     tokenizer.encode_special_tokens = True
     texts = ["a bé  c", "", "<|endoftext|> x"]
     assert by_file == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_loaded_counts_hold_every_document(spark):
+    docs = spark.read.parquet(f"{corpus.SMALL}/documents.parquet").collect()
+    want = {}
+    for d in docs:
+        for name, n in (("words-1", len(corpus.words(d.text))), ("bytes-1", len((d.text or "").encode()))):
+            k = (d.source, d.lang, name)
+            want[k] = (want.get(k, (0, 0))[0] + 1, want.get(k, (0, 0))[1] + n)
+    got = queries.QUERIES["op2_loaded_counts"](spark, corpus.SMALL).collect()
+    assert {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in got} == want
