@@ -7,13 +7,13 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
 
+from compare import SMALL  # noqa: E402
+
 from revq.plans.model import enrich  # noqa: E402
 from revq.schema import STG_ORDERS  # noqa: E402
 from revq.session import local_session  # noqa: E402
 from revq.sources.tables import stg_orders  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
 DEFAULTS = {
     "order_id": None,
     "order_date": datetime.date(2024, 1, 5),

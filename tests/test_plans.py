@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SMALL
+from compare import SMALL
 from pyspark.sql import functions as F
 
 from revq.plans import adhoc, measures, model, procedures, registry, views, whatif
