@@ -6,9 +6,7 @@ import datetime
 
 import duckdb
 
-# The tables that the tests compare over.
 SMALL = "/root/testdata/sf0.001"
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
