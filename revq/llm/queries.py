@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from revq.llm import (
-    classifier, jaccard, lines, mixing, neighbours, oracle, packing, rollups, rules, stats, substrings, urls,
+    classifier, jaccard, lines, mixing, neighbours, oracle, packing, periods, personal, rollups, rules, stats,
+    substrings, tokens, urls,
 )
 from revq.llm.tables import table
 from revq.llm.training import held_out
@@ -96,6 +97,63 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and digest of the plain spans; `spans` lists these and the disguised ones."""
+    found = personal.find(table(spark, folder, "documents"))
+    plain = F.filter("spans", lambda s: s["plain"])
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in personal.KINDS]
+    added = (F.size("spans") - F.size(plain)).cast("long")
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(plain), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        added.alias("n_disguised"),
+    )
+
+
+def _with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one document in ten repeats a stretch of its words to its end.
+
+    Documents are chosen by a hash of the id; a null id is not chosen.
+    """
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    seed = F.expr("h div 10")
+    rows = docs.select("doc_id", "text", hashed.alias("h")).withColumn("chosen", F.coalesce(F.col("h") % 10 == 0, F.lit(False)))
+    split = rows.withColumn("words", F.when(F.col("chosen"), tokens.word_list(F.col("text"))))
+    sized = split.withColumns({"n": F.size("words"), "g": seed}).withColumn(
+        "a", F.expr("CASE WHEN n > 0 THEN cast(g % n AS int) END")
+    )
+    period = sized.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) AS int)"))
+    repeated = F.expr(
+        "array_join(slice(concat(slice(words, 1, a), flatten(array_repeat(slice(words, a + 1, p), "
+        "cast(ceil((n - a) / p) AS int)))), 1, n), ' ')"
+    )
+    return period.select("doc_id", F.when(F.col("chosen") & (F.col("n") > 0), repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.find(_with_planted_runs(table(spark, folder, "documents")))
+    # Exact comparison of quotients; runs come by start and period, so ties keep the first.
+    best = F.expr(
+        "aggregate(runs, cast(null AS struct<start: bigint, length: bigint, period: bigint>), "
+        "(b, r) -> if(b IS NULL OR r.length * b.period > b.length * r.period, r, b))"
+    )
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"),
+        F.sha2(F.array_join(listed, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+    return rows.select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_token_counts": op2_token_counts,
@@ -108,6 +166,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_source_mix": op10_source_mix,
+    "op12_personal_data": op12_personal_data,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -13,10 +13,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # What Spark's SQL needs to find the same words.
 BLANKS = r"[\x20\x09-\x0D]+"
 
+def word_list(text: Column) -> Column:
+    """The words of a text as an array; a null or blank text has none."""
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(F.length(bare) > 0, F.split(bare, BLANKS)).otherwise(F.array().cast("array<string>"))
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PIECE = 1 << 20
