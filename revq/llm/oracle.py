@@ -69,10 +69,54 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM marked GROUP BY doc_id
 """
 
+AUDIT = f"""
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT filter_order, step, filter_order[step] AS f, filter_order[1:step - 1] AS earlier
+  FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders)),
+docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least FROM docs GROUP BY text),
+measured AS (
+  SELECT docs.*, {WORDS} AS ws, doc_id > least AS copy,
+    length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS upper
+  FROM docs JOIN firsts USING (text)),
+marks AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, quality = 1 AS good, toxic = 1 AS bad,
+    CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * upper > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN copy THEN 'E' ELSE '' END AS fails
+  FROM measured LEFT JOIN marks USING (doc_id)),
+counts AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE bad) AS bad
+  FROM failed GROUP BY part, fails),
+summed AS (
+  SELECT part, filter_order, step, f,
+    sum(CASE WHEN NOT contains(fails, f) AND translate(fails, earlier, '') = fails THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, earlier, '') = fails THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, earlier, '') <> fails THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, earlier, '') = fails THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN contains(fails, f) AND translate(fails, earlier, '') = fails THEN bad ELSE 0 END) AS toxic_lost
+  FROM counts, steps GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+  CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM summed
+"""
+
 SQL: dict[str, str] = {
     "op1_ngram_jaccard": JACCARD,
     "op2_token_counts": TOKENS,
     "op2_loaded_counts": LOADED,
     "op3_substring_dedup": SUBSTRINGS,
     "op7_line_dedup": LINES,
+    "op11_filter_audit": AUDIT,
 }

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from revq.llm import (
-    classifier, jaccard, lines, mixing, neighbours, oracle, packing, periods, personal, rollups, rules, stats,
-    substrings, tokens, urls,
+    audit, classifier, jaccard, lines, mixing, neighbours, oracle, packing, periods, personal, rollups, rules,
+    stats, substrings, tokens, urls,
 )
 from revq.llm.tables import table
 from revq.llm.training import held_out
@@ -97,6 +97,11 @@ def op10_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels")
+    return audit.interactions(audit.audited(spark, f"{folder}/documents.parquet", labels))
+
+
 def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     """Counts and digest of the plain spans; `spans` lists these and the disguised ones."""
     found = personal.find(table(spark, folder, "documents"))
@@ -166,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_source_mix": op10_source_mix,
+    "op11_filter_audit": op11_filter_audit,
     "op12_personal_data": op12_personal_data,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,

@@ -93,7 +93,7 @@ def test_run_equals_its_stages(spark, stages):
 
 
 def test_all_operators_are_registered():
-    assert {k.split("_")[0] for k in queries.QUERIES} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {k.split("_")[0] for k in queries.QUERIES} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
     assert set(queries.QUERIES) <= set(entry.queries()) and set(oracle.SQL) <= set(entry.oracle_sql())
 
 
