@@ -6,16 +6,20 @@ kept by a stream over the files of a table, read as available-now micro-batches:
 
 * filters that look at one document alone are evaluated where it is read;
 * whether a smaller doc_id has the same text depends on files that may come later. So
-  the state of each text (by its SHA-256) holds its least doc_id and what was counted
+  the state holds for each text (by its SHA-256) the least doc_id and what was counted
   for that. A larger id is counted as a copy at once. When a smaller id arrives, the
   count made before is retracted, made again as a copy's, and the new least is held;
 * each micro-batch appends its changes to the counters. Sums of them are right after
   every batch, whatever the order of the files, and a restart repeats no batch.
 
-Documents of one text meet in a task only after each has combined its own: of every ten
-thousand rows, one with the least id and one per part and label, so a text that a third
-of all rows share is no hot key. The state grows with the distinct texts; it is kept by
-RocksDB on the executors' disks and saved in the checkpoint folder.
+A state key is a range of hashes with about a thousand texts, which are revised together
+as columns; the number of ranges is fixed when a stream starts. Documents of one text
+meet in a task only after each has combined its own: of every ten thousand rows, only
+the one with the least id; the others are copies for sure and are summed up at once. So
+a text that a third of all rows share is no hot key. The state grows with the distinct
+texts, by about 80 bytes each, and is saved in the checkpoint folder. The session's state
+store keeps it: by default in the executors' memory; where that is too small, set
+`spark.sql.streaming.stateStore.providerClass` to the RocksDB provider.
 
 A null text is an empty one. A null doc_id is no smaller than any other and none is
 smaller than it: such rows are no copies and make none. Rows with the same doc_id and
@@ -43,12 +47,14 @@ from revq.session import materialise, new_path
 FILTERS = "ABCDE"
 COPY = 1 << FILTERS.index("E")
 BATCHES = 4
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-# `sure` rows are counted as they are; of the others, only the least id of a text is no copy.
-ROWS = "key binary, doc_id long, sure boolean, part string, mask int, good int, toxic int, docs long"
+TEXTS_PER_RANGE = 1024
+# Rows without a text's key are counted as they are; of the others, only the least id is no copy.
+ROWS = "bucket long, key binary, doc_id long, part string, mask int, good int, toxic int, docs long"
 CHANGES = "part string, mask int, good int, toxic int, docs long"
-STATE = "doc_id long, mask int, good int, toxic int, parts array<string>, docs array<long>"
+STATE = "held binary"
+COUNTED = ["part", "mask", "good", "toxic"]
+HELD = ["key", "doc_id", *COUNTED, "docs"]
 
 
 def own_mask(text: Column, words: Column) -> Column:
@@ -68,79 +74,86 @@ def own_mask(text: Column, words: Column) -> Column:
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one text in a batch become one with the least id, and sure counts of its copies."""
-    names = ["key", "doc_id", "part", "mask", "good", "toxic"]
+    """Of each text in a batch the rows with the least id stay; all others become sums."""
+    schema = pa.schema(
+        [("bucket", pa.int64()), ("key", pa.binary()), ("doc_id", pa.int64()), ("part", pa.string())]
+        + [(name, pa.int32()) for name in COUNTED[1:]] + [("docs", pa.int64())]
+    )
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = ["bucket", "key", "doc_id", *COUNTED]
         rows = list(zip(*(batch[name].to_pylist() for name in names)))
         least: dict[bytes, int] = {}
-        for key, doc_id, *_ in rows:
+        for _, key, doc_id, *_ in rows:
             if doc_id is not None and doc_id <= least.get(key, doc_id):
                 least[key] = doc_id
         counts: Counter = Counter()
-        for key, doc_id, part, mask, good, toxic in rows:
-            if doc_id is None:
-                counts[key, 0, True, part, mask, good, toxic] += 1
-            elif doc_id == least[key]:
-                counts[key, doc_id, False, part, mask, good, toxic] += 1
+        for bucket, key, doc_id, part, mask, good, toxic in rows:
+            if doc_id is not None and doc_id == least[key]:
+                counts[bucket, key, doc_id, part, mask, good, toxic] += 1
             else:
-                counts[key, 0, True, part, mask | COPY, good, toxic] += 1
-        columns = list(zip(*((*row, n) for row, n in counts.items())))
-        if columns:
-            types = [pa.binary(), pa.int64(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-            arrays = [pa.array(values, kind) for values, kind in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "sure", *names[2:], "docs"])
+                mask |= 0 if doc_id is None else COPY
+                counts[rows[0][0], None, 0, part, mask, good, toxic] += 1
+        columns = zip(*((*row, n) for row, n in counts.items()))
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+
+
+def _revised(held: pd.DataFrame, new: pd.DataFrame) -> tuple[pd.DataFrame, list[pd.DataFrame]]:
+    """What is held after new rows of some texts, and the changes to the counters."""
+    sure = new["key"].isna()
+    changes = [new[sure]]
+    both = pd.concat([held, new.loc[~sure, HELD]], ignore_index=True)
+    before = both.index < len(held)
+    first = (both["doc_id"] == both.groupby("key")["doc_id"].transform("min")).to_numpy()
+    changes.append(both[first & ~before])
+    copies = both[~first]
+    changes.append(copies.assign(mask=copies["mask"] | COPY))
+    gone = both[~first & before]
+    changes.append(gone.assign(docs=-gone["docs"]))
+    kept = both[first]
+    return kept.groupby(HELD[:-1], as_index=False, sort=False)["docs"].sum(), changes
+
+
+def _packed(held: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(held, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def _revise(key: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    """Changes to the counters by the rows of one text, and its new state."""
-    changes: Counter = Counter()
-    least, held = None, Counter()
-    mask = good = toxic = 0
-    if state.exists:
-        least, mask, good, toxic, parts, docs = state.get
-        held.update(dict(zip(parts, docs)))
-    before = least, Counter(held)
+    """Changes to the counters by new rows of a range of texts, and its new state."""
+    held = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else None
+    changes = []
     for frame in frames:
-        for row in frame.itertuples(index=False):
-            if row.sure:
-                changes[row.part, row.mask, row.good, row.toxic] += row.docs
-                continue
-            if least is None or row.doc_id < least:
-                for part, n in held.items():
-                    changes[part, mask, good, toxic] -= n
-                    changes[part, mask | COPY, good, toxic] += n
-                least, held = int(row.doc_id), Counter()
-                mask, good, toxic = int(row.mask), int(row.good), int(row.toxic)
-            if row.doc_id == least:
-                held[row.part] += int(row.docs)
-                changes[row.part, mask, good, toxic] += row.docs
-            else:
-                changes[row.part, row.mask | COPY, row.good, row.toxic] += row.docs
-    if least is not None and (least, held) != before:
-        state.update((least, mask, good, toxic, list(held), [int(n) for n in held.values()]))
-    rows = [(*what, n) for what, n in changes.items() if n]
-    if rows:
-        yield pd.DataFrame(rows, columns=["part", "mask", "good", "toxic", "docs"])
+        held, more = _revised(frame.loc[[], HELD] if held is None else held, frame)
+        summed = pd.concat([m[[*COUNTED, "docs"]] for m in [*changes, *more]])
+        changes = [summed.groupby(COUNTED, as_index=False)["docs"].sum()]
+    state.update((_packed(held),))
+    yield changes[0][changes[0]["docs"] != 0]
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Changes added up within each batch."""
-    keys = ["part", "mask", "good", "toxic"]
     for batch in batches:
-        table = pa.Table.from_batches([batch]).group_by(keys).aggregate([("docs", "sum")])
-        table = table.rename_columns([*keys, "docs"]).select([*keys, "docs"])
-        schema = pa.schema([("part", pa.string()), *((k, pa.int32()) for k in keys[1:]), ("docs", pa.int64())])
-        yield from table.cast(schema).to_batches()
+        table = pa.Table.from_batches([batch]).group_by(COUNTED).aggregate([("docs", "sum")])
+        yield from table.rename_columns([*COUNTED, "docs"]).cast(batch.schema).to_batches()
 
 
 class FilterAudit:
     """Counters of a folder of documents, kept by a stream in a folder of its own.
 
-    `update` reads the files that have come since the last call.
+    `update` reads the files that have come since the last call. The number of state
+    ranges must not change as long as the folder is used.
     """
 
-    def __init__(self, spark: SparkSession, documents: str, labels: DataFrame, part: str, folder: str):
-        self.spark, self.documents, self.labels, self.part, self.folder = spark, documents, labels, part, folder
+    def __init__(
+        self, spark: SparkSession, documents: str, labels: DataFrame, part: str, folder: str, ranges: int = 1024
+    ):
+        self.spark, self.documents, self.labels = spark, documents, labels
+        self.part, self.folder, self.ranges = part, folder, ranges
 
     def _changes(self, files_per_batch: int) -> DataFrame:
         schema = self.spark.read.parquet(self.documents).schema
@@ -157,7 +170,9 @@ class FilterAudit:
             )
             .withColumn("words", word_list(F.col("text")))
             .select(
-                F.unhex(F.sha2("text", 256)).alias("key"), "doc_id", "part",
+                F.pmod(F.xxhash64("text"), F.lit(self.ranges)).alias("bucket"),
+                F.unhex(F.sha2("text", 256)).alias("key"),
+                "doc_id", "part",
                 own_mask(F.col("text"), F.col("words")).alias("mask"),
             )
         )
@@ -167,32 +182,28 @@ class FilterAudit:
             .agg(*[F.max((F.col(c) == 1).cast("int")).alias(m) for c, m in (("quality", "good"), ("toxic", "toxic"))])
         )
         flags = [F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")]
-        rows = docs.join(materialise(marks), "doc_id", "left").select("key", "doc_id", "part", "mask", *flags)
+        rows = docs.join(materialise(marks), "doc_id", "left").select(
+            "bucket", "key", "doc_id", "part", "mask", *flags
+        )
         return (
             rows.mapInArrow(_combine, ROWS)
-            .groupBy("key")
+            .groupBy("bucket")
             .applyInPandasWithState(_revise, CHANGES, STATE, "append", "NoTimeout")
             .mapInArrow(_summed, CHANGES)
         )
 
     def update(self, files_per_batch: int) -> None:
         """Process all files that are there, so many per micro-batch, and return when done."""
-        setting = "spark.sql.streaming.stateStore.providerClass"
-        before = self.spark.conf.get(setting)
-        self.spark.conf.set(setting, ROCKSDB)
-        try:
-            query = (
-                self._changes(files_per_batch)
-                .writeStream.format("parquet")
-                .outputMode("append")
-                .option("path", f"{self.folder}/changes")
-                .option("checkpointLocation", f"{self.folder}/checkpoint")
-                .trigger(availableNow=True)
-                .start()
-            )
-            query.awaitTermination()
-        finally:
-            self.spark.conf.set(setting, before)
+        query = (
+            self._changes(files_per_batch)
+            .writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{self.folder}/changes")
+            .option("checkpointLocation", f"{self.folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
 
     def counters(self) -> DataFrame:
         """Documents by part, mask, good and toxic."""
@@ -206,8 +217,9 @@ def audited(
     spark: SparkSession, documents: str, labels: DataFrame, part: str = "lang", batches: int = BATCHES
 ) -> DataFrame:
     """Counters of all documents of a Parquet folder or file, read in about `batches` micro-batches."""
-    audit = FilterAudit(spark, documents, labels, part, new_path(spark))
-    files = len(spark.read.parquet(documents).inputFiles())
+    docs = spark.read.parquet(documents)
+    files, ranges = len(docs.inputFiles()), docs.count() // TEXTS_PER_RANGE + 1
+    audit = FilterAudit(spark, documents, labels, part, new_path(spark), ranges)
     audit.update(max(1, -(-files // batches)))
     return audit.counters()
 

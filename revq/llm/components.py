@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from revq.session import materialise
 
 
+def _oriented(links: DataFrame) -> DataFrame:
+    """Distinct links (a, b) with a > b, without loops."""
+    oriented = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return oriented.where(F.col("a") != F.col("b")).distinct()
+
+
 def _large_star(links: DataFrame) -> DataFrame:
-    """Hang the larger neighbours of every node on its smallest neighbour."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    """Hang every node on the smallest neighbour of its smaller neighbours.
+
+    Only nodes with a smaller neighbour are in `least`, so the links of a node that is
+    the smallest of very many meet no row there.
+    """
+    least = links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+    return links.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -22,23 +31,54 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b")))
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every node with a smaller neighbour has one, and that has none."""
+    child = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    parent = links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = child.unionByName(parent).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not ends.where("up > 1 OR up = 1 AND down = 1").count()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); the root is its smallest node.
 
     Alternating large and small stars, which need a number of rounds that grows with
-    the logarithm of the longest path. Only minima are gathered per node, so a node
-    with very many neighbours is combined inside the tasks first. Nodes must be of a
-    type that can be ordered; loops and repeated links are allowed.
+    the logarithm of the longest path; a round is one written table and one test
+    whether only stars are left. Only minima are gathered per node, so a node with very
+    many neighbours is combined inside the tasks first. Nodes must be of a type that
+    can be ordered; loops and repeated links are allowed.
     """
-    links = links.where(F.col("a") != F.col("b"))
-    links = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
-        # The number of links and a sum of their hashes tell whether a round changed any.
-        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if state == seen or not state[0]:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        seen = state
-        links = materialise(_small_star(_large_star(links).distinct()).distinct())
+    links = materialise(_oriented(links))
+    while not _all_stars(links):
+        links = materialise(_small_star(_large_star(links)).distinct())
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )
+
+
+def labels(links: DataFrame, hops: int = 2) -> DataFrame:
+    """(node, label) for every node of the written links: some node of the same component.
+
+    The smallest neighbour (or the node itself), and `hops` times the label's own.
+    Components are not complete, but take no rounds; `contracted` gives what is left.
+    """
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = materialise(
+        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
+        .select("node", F.least("node", "label").alias("label"))
+    )
+    found = least
+    for _ in range(hops):
+        further = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        found = found.join(further, "label").select("node", F.col("next").alias("label"))
+    return found
+
+
+def contracted(links: DataFrame, found: DataFrame) -> DataFrame:
+    """Links (a, b) between labels, for the links whose ends have different ones."""
+    left = found.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    right = found.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    return (
+        links.join(left, "a").join(right, "b").where("label_a <> label_b")
+        .select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    )

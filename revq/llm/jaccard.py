@@ -13,19 +13,20 @@ miss at most miss(n) = n - ceil(t n) of them in a partner; that bounds every ove
    partner. The other classes keep the tokens that they share, rarest first.
 3. *Partition.* Classes with an equal minimum hash are similar. Each is compared with
    one leader of its bucket, the class with the fewest tokens of its own, for three hash
-   functions. Verified links give components. Groups are the members of a component
-   (single classes: of a bucket), at most about 32 each.
+   functions. Along verified links each class takes a label, some class that is reached
+   in a few steps. Groups are the classes of a label (those without links: of a bucket),
+   at most about 32 each.
 4. *Token-group matrix.* A group stores the union of its members' rarest miss(n) + l(n)
    tokens. Queries are asked group by group: the tokens that a group of queries shares
    with another group's union bound the overlap of any two members, and with fewer than
    l of the smallest possible partner there is no link. Sizes and tokens of one's own
-   bound it too. Only groups of other components that pass are opened, by the smaller
-   component.
+   bound it too. Only groups of other labels that pass are opened.
 5. An opened group stores the union of all its tokens; a query whose overlap with it is
    too small is not compared with the members. All others are, exactly.
 
-Every link between different components is found, so components are exact. Links inside a
-component add nothing to it and are not looked for. No step emits pairs within a group:
+Every link between different labels is found, here or as a verified link to a leader, so
+the components of labels are exact. Links inside a label add nothing to it and are not
+looked for. No step emits pairs within a group:
 copies are one class, near copies meet at a leader, and opened groups are small and are
 compared inside a task, queries in salted portions.
 
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revq.llm import blocks as B
-from revq.llm.components import components
+from revq.llm.components import components, contracted, labels
 from revq.llm.tokens import Words, find_words, mixed
 from revq.session import materialise
 
@@ -50,7 +51,8 @@ GROUP_ROWS = 32
 QUERY_ROWS = 512
 _SEEDS = tuple(np.uint64(s) for s in (0x51ED270B0F5A3C11, 0x9D39247E33776D41, 0xC2B2AE3D27D4EB4F))
 
-SETS = "doc_id long, n long, node binary, tokens binary"
+SETS = "doc_id long, text_hash long, n long, node binary, tokens binary"
+MATRIX = "token long, gid long, of binary, low long, high long, own long, least long"
 DENSE = "node binary, n long, own long, tokens binary, minima array<long>"
 COUNTED = "block long, bucket long, keys binary, counts binary"
 LINKS = "a binary, b binary"
@@ -131,6 +133,7 @@ def _candidates(docs: DataFrame, size: int, t: Threshold, block_bytes: int) -> D
     placed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
+        F.xxhash64("text").alias("text_hash"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("long").alias("block"),
     )
 
@@ -155,6 +158,7 @@ def _candidates(docs: DataFrame, size: int, t: Threshold, block_bytes: int) -> D
         return pa.table(
             {
                 "doc_id": docs["doc_id"],
+                "text_hash": docs["text_hash"],
                 "n": pa.array(sets.n, pa.int64()),
                 "node": pa.array(sets.nodes(), pa.binary()),
                 "tokens": pa.array(tokens, pa.binary()),
@@ -280,37 +284,23 @@ def _leader_links(dense: DataFrame, t: Threshold) -> DataFrame:
 
 def _group_links(members: DataFrame, t: Threshold) -> DataFrame:
     """Links between components, found through the token-group matrix."""
-    columns = "token long, gid long"
+    def unite(group: pa.Table) -> pa.Table:
+        """The row of a group in the matrix: its early tokens, and bounds over its members."""
+        n, own = group["n"].to_numpy(), group["own"].to_numpy()
+        take = t.prefix(n) - own  # tokens of one's own come first and hit nothing
+        early = [np.frombuffer(x, np.uint64)[:k] for x, k in zip(group["tokens"].to_pylist(), take)]
+        tokens = np.unique(np.concatenate(early)).view(np.int64)
+        bounds = {"low": n.min(), "high": n.max(), "own": own.min(), "least": t.probes(t.least(n)).min()}
+        same = {name: pa.array(np.full(len(tokens), value), pa.int64()) for name, value in bounds.items()}
+        gid, of = (pa.array([group[name][0].as_py()] * len(tokens), kind) for name, kind in (("gid", pa.int64()), ("of", pa.binary())))
+        return pa.table({"token": tokens, "gid": gid, "of": of} | same)
 
-    def early(batches: B.Batches) -> B.Batches:
-        for batch in batches:
-            n, own = batch["n"].to_numpy(), batch["own"].to_numpy()
-            take = t.prefix(n) - own  # tokens of one's own come first and hit nothing
-            parts = [
-                np.frombuffer(x, np.uint64)[:k].view(np.int64) for x, k in zip(batch["tokens"].to_pylist(), take)
-            ]
-            row = pa.array(np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
-            tokens = pa.array(np.concatenate(parts) if parts else [], pa.int64())
-            full = pa.RecordBatch.from_pydict({"token": tokens, "gid": batch["gid"].take(row)})
-            # Pieces keep the batches small however long the sets are.
-            for i in range(0, full.num_rows, 50_000):
-                yield full.slice(i, 50_000)
-
-    n, least = F.col("n"), F.expr(t.least_probes_sql("n"))
-    groups = materialise(
-        members.groupBy("gid", "size", F.when(F.col("size") > 1, F.col("root")).alias("root")).agg(
-            F.min(n).alias("low"), F.max(n).alias("high"), F.min("own").alias("own"),
-            F.min(least).alias("least"), F.count(F.lit(1)).alias("rows"),
-        )
-    )
     matrix = materialise(
-        members.select("n", "own", "tokens", "gid").mapInArrow(early, columns).distinct().join(groups, "gid")
-    )
-    theirs = matrix.select("token", *[F.col(c).alias(f"{c}2") for c in groups.columns])
-    other = ~F.col("root").eqNullSafe(F.col("root2")) | F.col("root").isNull()
-    smaller = (F.col("size") < F.col("size2")) | (
-        (F.col("size") == F.col("size2")) & (F.col("gid") < F.col("gid2"))
+        members.select("n", "own", "tokens", "gid", "of").groupBy("gid").applyInArrow(lambda group: unite(group), MATRIX)
     )
+    theirs = matrix.select("token", *[F.col(c).alias(f"{c}2") for c in matrix.columns if c != "token"])
+    other = ~F.col("of").eqNullSafe(F.col("of2")) | F.col("of").isNull()
+    smaller = F.col("gid") < F.col("gid2")
     near = (F.col("high") * t.denominator >= F.col("low2") * t.numerator) & (
         F.col("high2") * t.denominator >= F.col("low") * t.numerator
     )
@@ -325,8 +315,9 @@ def _group_links(members: DataFrame, t: Threshold) -> DataFrame:
         .where(F.col("hits") >= F.col("least"))
         .select("gid", "group")
     )
-    # Members of one component need not be compared; single classes of one group must be.
-    inside = groups.where("root IS NULL AND rows > 1").select("gid", F.col("gid").alias("group"))
+    # Members of one component need not be compared; classes without a label in one group must be.
+    alone = members.where("of IS NULL").groupBy("gid").agg(F.count(F.lit(1)).alias("rows"))
+    inside = alone.where("rows > 1").select("gid", F.col("gid").alias("group"))
     opened = materialise(between.unionByName(inside))
     portions = opened.groupBy("group").agg(F.ceil(F.count(F.lit(1)) * GROUP_ROWS / QUERY_ROWS).alias("portions"))
     sides = ["node", "n", "tokens", "root"]
@@ -372,11 +363,9 @@ def _group_links(members: DataFrame, t: Threshold) -> DataFrame:
 
 
 def _in_groups(dense: DataFrame, roots: DataFrame) -> DataFrame:
-    """Classes with component, its size, and group; a group is uniform or of single classes."""
-    placed = dense.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    placed = placed.join(sizes, "root").withColumns(
-        {"minimum": F.col("minima")[0], "of": F.when(F.col("size") > 1, F.col("root"))}
+    """Classes with label and group; a group has one label, or holds classes without (`of` is null)."""
+    placed = dense.join(roots.select("node", F.col("label").alias("of")), "node", "left").withColumns(
+        {"root": F.coalesce("of", "node"), "minimum": F.col("minima")[0]}
     )
     rows = placed.groupBy("minimum", "of").agg(F.count(F.lit(1)).alias("rows")).withColumnsRenamed(
         {"minimum": "_minimum", "of": "_of"}
@@ -384,35 +373,74 @@ def _in_groups(dense: DataFrame, roots: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / GROUP_ROWS))
     same = (F.col("minimum") == F.col("_minimum")) & F.col("of").eqNullSafe(F.col("_of"))
     return placed.join(rows, same).select(
-        "node", "n", "own", "tokens", "root", "size", F.xxhash64("minimum", "of", part).alias("gid")
+        "node", "n", "own", "tokens", "root", "of", F.xxhash64("minimum", "of", part).alias("gid")
     )
 
 
-def near_duplicates(
-    docs: DataFrame,
-    size: int = 5,
-    numerator: int = 4,
-    denominator: int = 5,
-    block_bytes: int = B.BLOCK_BYTES,
-) -> DataFrame:
-    """Per document: doc_id, n_shingles, and component_id, the smallest doc_id that links reach."""
+def _rooted(docs: DataFrame, size: int, numerator: int, denominator: int, block_bytes: int) -> DataFrame:
+    """Per document: doc_id, text_hash, n, and `top`, which stands for its component (null: no set)."""
     t = Threshold(numerator, denominator)
     sets = materialise(_candidates(docs, size, t, block_bytes))
     classes = materialise(
         sets.where("tokens IS NOT NULL").select("node", "n", "tokens").dropDuplicates(["node"])
     )
     dense = materialise(_dense(classes, t, block_bytes))
-    roots = materialise(components(_leader_links(dense, t)))
-    members = materialise(_in_groups(dense, roots))
-    merged = components(_group_links(members, t)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    links = materialise(_leader_links(dense, t))
+    found = labels(links)
+    members = materialise(_in_groups(dense, found))
+    between = contracted(links, members.where("of IS NOT NULL").select("node", F.col("root").alias("label")))
+    merged = components(between.unionByName(_group_links(members, t))).select(
+        F.col("node").alias("root"), F.col("root").alias("top")
+    )
     final = members.select("node", "root").join(merged, "root", "left").select(
         "node", F.coalesce("top", "root").alias("top")
     )
-    rooted = sets.select("doc_id", "n", "node").join(final, "node", "left").select(
-        "doc_id", "n", F.coalesce("top", "node").alias("top")
+    return sets.select("doc_id", "text_hash", "n", "node").join(final, "node", "left").select(
+        "doc_id", "text_hash", "n", F.coalesce("top", "node").alias("top")
     )
+
+
+def near_duplicates(
+    docs: DataFrame,
+    size: int = 5,
+    numerator: int = 4,
+    denominator: int = 5,
+    block_bytes: int = B.BLOCK_BYTES,
+) -> DataFrame:
+    """Per document: doc_id, n_shingles, and component_id, the smallest doc_id that links reach."""
+    rooted = _rooted(docs, size, numerator, denominator, block_bytes)
     # Written, so that the join is free to split a class with very many documents.
     ids = materialise(rooted.where("top IS NOT NULL").groupBy("top").agg(F.min("doc_id").alias("component_id")))
     return rooted.join(ids, "top", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def copies(
+    docs: DataFrame,
+    size: int = 5,
+    numerator: int = 4,
+    denominator: int = 5,
+    block_bytes: int = B.BLOCK_BYTES,
+) -> DataFrame:
+    """The rows that are not the first of their component, as (doc_id, text_hash, rows, first).
+
+    Of each component one row is first: that with the smallest doc_id (null last), then
+    the smallest hash of the text. There is one row here per doc_id and text that is no
+    first (`first` false: all its rows are copies), and per first one that is repeated
+    (`first` true: all but one of its rows are). Documents without words are no copies.
+    """
+    rooted = _rooted(docs, size, numerator, denominator, block_bytes)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    # Written, so that the join is free to split a class with very many documents.
+    firsts = materialise(
+        rooted.where("top IS NOT NULL").groupBy("top").agg(F.min(row).alias("row"), F.count(F.lit(1)).alias("rows"))
+        .where("rows > 1").select("top", "row")
+    )
+    return (
+        rooted.join(firsts, "top")
+        .groupBy("doc_id", "text_hash", (row == F.col("row")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .where("NOT first OR rows > 1")
+        .select("doc_id", "text_hash", "rows", "first")
+    )

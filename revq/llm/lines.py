@@ -63,9 +63,10 @@ class LineRuns:
         self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.folder = new_path(spark)
         self.levels: list[list[str]] = []
+        self.retired: list[str] = []
 
     def _write(self, run: DataFrame) -> str:
-        """Store rows that are placed by hash already, one sorted file per bucket."""
+        """Store rows that a join or an aggregate has placed by hash, one sorted file per bucket."""
         name = f"line_run_{uuid.uuid4().hex}"
         (
             run.write.option("path", f"{self.folder}/{name}")
@@ -81,40 +82,48 @@ class LineRuns:
     def add(self, lines: DataFrame) -> DataFrame:
         """Add a batch of (h1, h2, doc_id), one row per line and document; return its run.
 
-        The run's `keeper` is null for hashes an earlier batch has brought.
+        The run's `keeper` is null for hashes an earlier batch has brought. It can be
+        read until the next batch is added, also if it is compacted now.
         """
+        self._forget_retired()
         own = lines.groupBy(*HASH).agg(
-            F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last")
+            F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("keeper")
         )
-        own = materialise(own)
-        fresh = own
-        for run in self.runs():
-            fresh = fresh.join(run.select(*HASH).hint("merge"), HASH, "left_anti")
-        fresh = fresh.select(*HASH, F.lit(True).alias("fresh"))
-        keeper = F.when(F.col("fresh"), F.col("last")).alias("keeper")
-        marked = own.join(fresh, HASH, "left").select(*HASH, "docs", keeper) if self.levels else (
-            own.select(*HASH, "docs", F.col("last").alias("keeper"))
-        )
-        name = self._write(marked.repartition(self.buckets, *HASH))
-        self._place(name, 0)
-        return self.spark.table(name) if name in sum(self.levels, []) else marked
-
-    def _place(self, name: str, level: int) -> None:
-        while len(self.levels) <= level:
+        marked = own
+        if self.levels:
+            # The batch's exchange by hash serves both sides, and the runs lie in the same buckets.
+            fresh = own.select(*HASH, "keeper")
+            for run in self.runs():
+                fresh = fresh.join(run.select(*HASH).hint("merge"), HASH, "left_anti")
+            marked = own.select(*HASH, "docs").join(fresh, HASH, "left")
+        name = self._write(marked)
+        self._place(name)
+        return self.spark.read.schema(RUN).parquet(f"{self.folder}/{name}")
+
+    def _place(self, name: str) -> None:
+        """Put a run into the lowest level; levels that are full by that are merged, all at once."""
+        if not self.levels:
             self.levels.append([])
-        self.levels[level].append(name)
-        if len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._merged(self.levels[level]).repartition(self.buckets, *HASH))
-            old, self.levels[level] = self.levels[level], []
-            for n in old:
-                self._drop(n)
-            self._place(merged, level + 1)
-
-    def _drop(self, name: str) -> None:
-        """Forget a run and remove its files: nothing reads a run that was compacted."""
-        self.spark.sql(f"DROP TABLE {name}")
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.levels[0].append(name)
+        full = 0
+        while full < len(self.levels) and len(self.levels[full]) + (full > 0) >= self.fanout:
+            full += 1
+        if full:
+            old = sum(self.levels[:full], [])
+            merged = self._write(self._merged(old))
+            self.levels[:full] = [[] for _ in range(full)]
+            if len(self.levels) == full:
+                self.levels.append([])
+            self.levels[full].append(merged)
+            self.retired += old
+
+    def _forget_retired(self) -> None:
+        """Remove the runs that were compacted, and their files."""
+        for name in self.retired:
+            self.spark.sql(f"DROP TABLE {name}")
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.retired = []
 
     def _merged(self, names: list[str]) -> DataFrame:
         # The files are read as plain files: Spark takes a union of bucketed tables for placed
@@ -130,9 +139,9 @@ class LineRuns:
         return self._merged(sum(self.levels, []))
 
     def close(self) -> None:
-        for name in sum(self.levels, []):
-            self._drop(name)
+        self.retired += sum(self.levels, [])
         self.levels = []
+        self._forget_retired()
 
 
 def _batch(docs: DataFrame, batches: int) -> Column:
@@ -151,20 +160,26 @@ def drop_repeated_lines(
     """The documents with `text` cut, and n_lines (before) and n_dropped beside it."""
     spark = docs.sparkSession
     batch = _batch(docs, batches)
-    lines = materialise(
+    found = (
         docs.where("doc_id IS NOT NULL")
         .select(
             "doc_id",
-            batch.alias("batch"),
             F.explode(F.array_distinct(F.transform(_long_keys(F.col("text"), min_chars), key_hash))).alias("h"),
+            batch.alias("batch"),
         )
-        .select("doc_id", "batch", "h.*")
+        .select("doc_id", "h.*", "batch")
     )
+    # One folder per batch, so that each batch reads its own rows only.
+    path = new_path(spark)
+    found.write.partitionBy("batch").parquet(path)
+    lines = spark.read.schema(found.schema).parquet(path)
     runs = LineRuns(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), fanout)
-    for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("doc_id", *HASH))
-    repeated = materialise(runs.totals().where(F.col("docs") >= min_docs).select(*HASH, "keeper"))
-    runs.close()
+    try:
+        for b in range(batches):
+            runs.add(lines.where(F.col("batch") == b).select("doc_id", *HASH))
+        repeated = materialise(runs.totals().where(F.col("docs") >= min_docs).select(*HASH, "keeper"))
+    finally:
+        runs.close()
     dropped = (
         lines.join(repeated, HASH)
         .where(F.col("doc_id") != F.col("keeper"))

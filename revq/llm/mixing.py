@@ -3,7 +3,7 @@
 Every source has a target of words. A document is taken once for every whole time
 its source's words fit the target, and once more if its hash lies below the source's
 threshold. The threshold comes from sums of words by source and hash bucket: the
-first level splits the hash range of each source into 1,024 buckets, and every
+first level splits the hash range of each source into 4,096 buckets, and every
 further level splits only the bucket in which the budget ends, until that bucket
 holds one hash value. Nothing is sorted but bucket sums, and nothing is drawn at
 random, so reruns agree.
@@ -27,8 +27,10 @@ from revq.llm.tokens import BLANKS
 from revq.operators.ranking import with_global_ranks
 from revq.session import materialise
 
-HASH_BITS = 60
-LEVEL_BITS = 10
+# Bits of the hash that each level adds. Later levels see one bucket of a source only, so that
+# most of their buckets hold one document and hardly ever a third level is needed.
+LEVEL_BITS = (12, 24, 24)
+HASH_BITS = sum(LEVEL_BITS)
 MOST_COPIES = 2
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -78,7 +80,7 @@ def _thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     found, shift = [], HASH_BITS
     while True:
         # The bucket that is refined holds the hashes with low >> shift in their first bits.
-        last, shift = shift, shift - LEVEL_BITS
+        last, shift = shift, shift - LEVEL_BITS[len(found)]
         inside = F.shiftright("hash", last) == F.shiftright("low", last)
         buckets = (
             docs.join(state, docs["source"].eqNullSafe(state["source"]))
@@ -105,7 +107,7 @@ def _thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
             )
         )
         # One hash value is left: it goes to the side that comes nearer to the budget.
-        single = F.col("single") if shift >= LEVEL_BITS else F.lit(True)
+        single = F.col("single") if shift else F.lit(True)
         nearer = F.when(F.col("rest") * 2 >= F.col("words"), F.col("high")).otherwise(F.col("low"))
         found.append(ends.where(single).select("source", nearer.alias("threshold")))
         state = ends.where(~single).select("source", "rest", "low")
@@ -117,17 +119,9 @@ def _thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return result
 
 
-def mix(
-    docs: DataFrame,
-    weights: Sequence[float] = WEIGHTS,
-    share: float = SHARE,
-    most: int = MOST_COPIES,
-) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies and taken words.
-
-    Weights go to the sources in code point order (null last) and repeat.
-    """
-    sized = materialise(
+def _sized(docs: DataFrame) -> DataFrame:
+    """What the mix needs of the documents, written."""
+    return materialise(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
@@ -135,27 +129,69 @@ def mix(
             document_hash().alias("hash"),
         )
     )
-    sums = materialise(
-        sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-        .withColumn("last", F.col("source").isNull().cast("int"))
+
+
+def _plan(sized: DataFrame, weights: Sequence[float], share: float, most: int) -> DataFrame:
+    """Per source: size, target, whole copies of each document, and threshold of one more."""
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn(
+        "last", F.col("source").isNull().cast("int")
     )
     ranked = with_global_ranks(sums, numbers={"place": [("last", "asc"), ("source", "asc")]})
-    placed = ranked.withColumn("place", F.col("place") - 1).drop("last")
+    placed = materialise(ranked.withColumn("place", F.col("place") - 1).drop("last"))
     aimed = targets(placed, weights, share, most)
     # Quotients in double can fall short of a whole number by a few parts in 10^16.
     times = F.col("target") / F.nullif("source_size", F.lit(0))
     whole = F.coalesce(F.floor(times + F.lit(1e-12)), F.lit(0)).cast("int")
-    plan = materialise(aimed.withColumn("whole", whole))
+    plan = aimed.withColumn("whole", whole)
     budget = F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))
     cuts = _thresholds(sized, plan.where("whole < " + str(int(most))).withColumn("budget", budget))
-    plan = plan.join(cuts, plan["source"].eqNullSafe(cuts["source"]), "left").select(
+    return plan.join(cuts, plan["source"].eqNullSafe(cuts["source"]), "left").select(
         plan["source"].alias("_source"), "source_size", "target", "whole",
         F.coalesce("threshold", F.lit(0)).alias("threshold"),
     )
-    below = (F.col("hash") < F.col("threshold")).cast("int")
+
+
+def _copies(hash_: Column) -> Column:
+    return F.col("whole") + (hash_ < F.col("threshold")).cast("int")
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    most: int = MOST_COPIES,
+) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, copies and taken words.
+
+    Weights go to the sources in code point order (null last) and repeat.
+    """
+    sized = _sized(docs)
+    plan = _plan(sized, weights, share, most)
     return (
         sized.join(plan, sized["source"].eqNullSafe(plan["_source"]))
-        .withColumn("copies", F.col("whole") + below)
+        .withColumn("copies", _copies(F.col("hash")))
         .withColumn("taken", F.col("size") * F.col("copies"))
         .select("doc_id", "source", "size", "source_size", "target", "copies", "taken", "hash")
     )
+
+
+def taken(
+    docs: DataFrame,
+    weights: Sequence[float] = WEIGHTS,
+    share: float = SHARE,
+    most: int = MOST_COPIES,
+) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it.
+
+    A document's hash and its source's line of the plan decide, so texts are not moved.
+    """
+    plan = _plan(_sized(docs), weights, share, most)
+    plan = plan.select("_source", F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
+    below = (document_hash() < F.col("_threshold")).cast("int")
+    return (
+        docs.join(plan, F.col("source").cast("string").eqNullSafe(F.col("_source")))
+        .withColumn("_copies", F.col("_whole") + below)
+        .where("_copies > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies")))
+        .select([docs[c] for c in docs.columns])
+    )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """Rows kept for testing: crc32 of the id as text is divisible by 5."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Rows kept for testing: crc32 of the id as text is divisible by 5; a null id is not kept."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def sampled(rows: DataFrame, keys: list[str], most: int) -> DataFrame:

@@ -141,11 +141,12 @@ def test_copies_are_combined_before_they_meet():
 
     n = 1000
     batch = pa.RecordBatch.from_pydict({
-        "key": [b"k"] * n, "doc_id": list(range(n, 0, -1)), "part": ["en"] * n,
-        "mask": pa.array([1] * n, pa.int32()), "good": pa.array([0] * n, pa.int32()), "toxic": pa.array([0] * n, pa.int32()),
+        "bucket": [5] * n, "key": [b"k"] * n, "doc_id": list(range(n, 0, -1)), "part": ["en"] * n,
+        **{name: pa.array([value] * n, pa.int32()) for name, value in (("mask", 1), ("good", 0), ("toxic", 0))},
     })
     (out,) = audit._combine(iter([batch]))
+    same = {"bucket": 5, "part": "en", "good": 0, "toxic": 0}
     assert sorted(out.to_pylist(), key=lambda r: r["docs"]) == [
-        {"key": b"k", "doc_id": 1, "sure": False, "part": "en", "mask": 1, "good": 0, "toxic": 0, "docs": 1},
-        {"key": b"k", "doc_id": 0, "sure": True, "part": "en", "mask": 17, "good": 0, "toxic": 0, "docs": n - 1},
+        same | {"key": b"k", "doc_id": 1, "mask": 1, "docs": 1},
+        same | {"key": None, "doc_id": 0, "mask": 17, "docs": n - 1},
     ]

@@ -86,6 +86,55 @@ def test_every_word_is_packed(stages):
     assert sorted((i, n) for (i, _), n in got.items()) == want
 
 
+def gaps(spark):
+    """Nulls in every column, repeated rows, ties, ids with several texts, empty and long texts, clashing columns."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    near = a.replace("w30", "x")
+    rows = [
+        (1, a, "en", "s"), (1, a, "en", "s"), (None, a, "de", None), (2, a, None, "t"), (2, b, "en", "t"),
+        (3, near, "en", "s"), (None, b, "en", "s"), (None, b, "en", "s"), (4, None, None, None), (4, None, None, None),
+        (5, "", "en", "s"), (6, " \n", "en", "t"), (7, "one two", "en", "t"), (7, "one two", "en", "s"),
+        (8, "long " * 30_000, "en", "s"), (None, None, None, None),
+    ]
+    table = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], corpus.SCHEMA)
+    return rows, corpus.clashing(table)
+
+
+def test_gaps(spark):
+    rows, docs = gaps(spark)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, corpus.SMALL).columns == corpus_pipeline.COLUMNS
+    kept = corpus_pipeline.near_dedup(spark, docs, corpus.SMALL)
+    assert sorted(((r.doc_id, (r.text or "")[:7], r.source) for r in kept.collect()), key=str) == sorted([
+        (1, "w0 w1 w", "s"), (2, "v0 v1 v", "t"), (4, "", None), (4, "", None), (5, "", "s"), (6, " \n", "t"),
+        (7, "one two", "s"), (8, "long lo", "s"), (None, "", None),
+    ], key=str)
+    verdict = {}
+    for r in corpus_pipeline.quality(spark, docs, corpus.SMALL).collect():
+        verdict[r.text] = verdict.get(r.text, 0) + 1
+    assert all(n == sum(t == text for _, t, *_ in rows) for text, n in verdict.items())
+    cut = corpus_pipeline.line_dedup(spark, docs, corpus.SMALL).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in cut) == sorted((i or 0, t or "") for i, t, *_ in rows)
+    mixed = corpus_pipeline.source_mix(spark, docs, corpus.SMALL).collect()
+    times = defaultdict(int)
+    for r in mixed:
+        times[r.doc_id, r.text, r.source] += 1
+    given = defaultdict(int)
+    for i, t, _, s in rows:
+        given[i, t, s] += 1
+    assert mixed and all(n % given[k] == 0 and n <= 2 * given[k] for k, n in times.items())
+    packed = defaultdict(int)
+    for r in corpus_pipeline.sequences(spark, docs, corpus.SMALL).collect():
+        packed[r.doc_id, r.copy] += r["size"]
+    assert sum(packed.values()) == sum(len(corpus.words(t)) for _, t, *_ in rows)
+
+
+def test_empty_table(spark):
+    empty = corpus.documents(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, corpus.SMALL).collect() == []
+
+
 def test_run_equals_its_stages(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, corpus.SMALL).collect()), key=str) == sorted(
         map(tuple, stages[-1][1].collect()), key=str
