@@ -54,31 +54,3 @@ def components(links: DataFrame) -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
-
-
-def labels(links: DataFrame, hops: int = 2) -> DataFrame:
-    """(node, label) for every node of the written links: some node of the same component.
-
-    The smallest neighbour (or the node itself), and `hops` times the label's own.
-    Components are not complete, but take no rounds; `contracted` gives what is left.
-    """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = materialise(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label"))
-        .select("node", F.least("node", "label").alias("label"))
-    )
-    found = least
-    for _ in range(hops):
-        further = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        found = found.join(further, "label").select("node", F.col("next").alias("label"))
-    return found
-
-
-def contracted(links: DataFrame, found: DataFrame) -> DataFrame:
-    """Links (a, b) between labels, for the links whose ends have different ones."""
-    left = found.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-    right = found.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return (
-        links.join(left, "a").join(right, "b").where("label_a <> label_b")
-        .select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
-    )

@@ -13,20 +13,18 @@ miss at most miss(n) = n - ceil(t n) of them in a partner; that bounds every ove
    partner. The other classes keep the tokens that they share, rarest first.
 3. *Partition.* Classes with an equal minimum hash are similar. Each is compared with
    one leader of its bucket, the class with the fewest tokens of its own, for three hash
-   functions. Along verified links each class takes a label, some class that is reached
-   in a few steps. Groups are the classes of a label (those without links: of a bucket),
-   at most about 32 each.
+   functions. Verified links give components. Groups are the members of a component
+   (single classes: of a bucket), at most about 32 each.
 4. *Token-group matrix.* A group stores the union of its members' rarest miss(n) + l(n)
    tokens. Queries are asked group by group: the tokens that a group of queries shares
    with another group's union bound the overlap of any two members, and with fewer than
    l of the smallest possible partner there is no link. Sizes and tokens of one's own
-   bound it too. Only groups of other labels that pass are opened.
+   bound it too. Only groups of other components that pass are opened.
 5. An opened group stores the union of all its tokens; a query whose overlap with it is
    too small is not compared with the members. All others are, exactly.
 
-Every link between different labels is found, here or as a verified link to a leader, so
-the components of labels are exact. Links inside a label add nothing to it and are not
-looked for. No step emits pairs within a group:
+Every link between different components is found, so components are exact. Links inside a
+component add nothing to it and are not looked for. No step emits pairs within a group:
 copies are one class, near copies meet at a leader, and opened groups are small and are
 compared inside a task, queries in salted portions.
 
@@ -43,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revq.llm import blocks as B
-from revq.llm.components import components, contracted, labels
+from revq.llm.components import components
 from revq.llm.tokens import Words, find_words, mixed
 from revq.session import materialise
 
@@ -75,12 +73,6 @@ class Threshold:
         """Tokens beyond miss(n) that are looked up; at least one."""
         return np.maximum(1, -(-self.miss(n) // 2))
 
-    def least_probes_sql(self, n: str) -> str:
-        """probes() of the smallest set that can link with one of `n` tokens, as SQL."""
-        least = f"(({self.numerator} * {n} + {self.denominator - 1}) div {self.denominator})"
-        miss = f"({least} - ({self.numerator} * {least} + {self.denominator - 1}) div {self.denominator})"
-        return f"greatest(1, ({miss} + 1) div 2)"
-
     def prefix(self, n):
         return np.minimum(n, self.miss(n) + self.probes(n))
 
@@ -363,8 +355,8 @@ def _group_links(members: DataFrame, t: Threshold) -> DataFrame:
 
 
 def _in_groups(dense: DataFrame, roots: DataFrame) -> DataFrame:
-    """Classes with label and group; a group has one label, or holds classes without (`of` is null)."""
-    placed = dense.join(roots.select("node", F.col("label").alias("of")), "node", "left").withColumns(
+    """Classes with component and group; a group is of one component, or of single classes (`of` is null)."""
+    placed = dense.join(roots.select("node", F.col("root").alias("of")), "node", "left").withColumns(
         {"root": F.coalesce("of", "node"), "minimum": F.col("minima")[0]}
     )
     rows = placed.groupBy("minimum", "of").agg(F.count(F.lit(1)).alias("rows")).withColumnsRenamed(
@@ -385,13 +377,8 @@ def _rooted(docs: DataFrame, size: int, numerator: int, denominator: int, block_
         sets.where("tokens IS NOT NULL").select("node", "n", "tokens").dropDuplicates(["node"])
     )
     dense = materialise(_dense(classes, t, block_bytes))
-    links = materialise(_leader_links(dense, t))
-    found = labels(links)
-    members = materialise(_in_groups(dense, found))
-    between = contracted(links, members.where("of IS NOT NULL").select("node", F.col("root").alias("label")))
-    merged = components(between.unionByName(_group_links(members, t))).select(
-        F.col("node").alias("root"), F.col("root").alias("top")
-    )
+    members = materialise(_in_groups(dense, components(_leader_links(dense, t))))
+    merged = components(_group_links(members, t)).select(F.col("node").alias("root"), F.col("root").alias("top"))
     final = members.select("node", "root").join(merged, "root", "left").select(
         "node", F.coalesce("top", "root").alias("top")
     )
