@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from revq.functions.labels import age_group, discount_band, one_spelling
 from revq.operators.constraints import TableRules, enforce, table_violations, violations
@@ -21,6 +23,7 @@ from revq.schema import (
 )
 from revq.session import materialise
 from revq.sources.files import replace_table
+from revq.sources.versions import VersionedTable
 
 # A row without one of these has no place in a dimension.
 NATURAL_KEYS = (
@@ -90,10 +93,15 @@ def _numbered(name: str, keys: DataFrame) -> DataFrame:
     schema, order = DIMENSIONS[name]
     id_column = schema.names[0]
     ranked = with_global_ranks(keys, numbers={id_column: [(k, "asc") for k in order]})
-    ranked = ranked.withColumn(id_column, F.col(id_column).cast("int"))
+    return _with_attributes(name, ranked.withColumn(id_column, F.col(id_column).cast("int")))
+
+
+def _with_attributes(name: str, rows: DataFrame) -> DataFrame:
+    """A dimension's columns from its id and natural key."""
+    schema, _ = DIMENSIONS[name]
     if name == "dim_date":
         date = F.col("full_date")
-        ranked = ranked.withColumns(
+        rows = rows.withColumns(
             {
                 "year": F.year(date),
                 "month": F.month(date),
@@ -103,8 +111,8 @@ def _numbered(name: str, keys: DataFrame) -> DataFrame:
             }
         )
     if name == "dim_customer_demo":
-        ranked = ranked.withColumn("customer_age_group", age_group(F.col("customer_age")))
-    return ranked.select(schema.names)
+        rows = rows.withColumn("customer_age_group", age_group(F.col("customer_age")))
+    return rows.select(schema.names)
 
 
 def _one_zone(places: DataFrame) -> DataFrame:
@@ -147,31 +155,113 @@ def dimensions(staging: DataFrame) -> dict[str, DataFrame]:
     Each order yields its five natural keys; duplicates fall away inside the
     scanning tasks, so only a few keys per task are shuffled.
     """
-    keys = materialise(
-        one_spelling(staging).selectExpr(
-            """stack(5,
-              'dim_date', cast(order_date AS string), cast(null AS string),
-              'dim_state', state, zone,
-              'dim_product', category, brand_type,
-              'dim_customer_demo', customer_gender, cast(customer_age AS string),
-              'dim_event', sales_event, cast(null AS string)) AS (dim, a, b)"""
-        ).distinct()
+    return _members(_natural_keys(staging), {name: 0 for name in DIMENSIONS})
+
+
+# The natural keys of all dimensions in one table: a date, a whole number and two texts.
+KEY_COLUMNS = {
+    "dim_date": {"full_date": "d"},
+    "dim_state": {"state_name": "a"},
+    "dim_product": {"category": "a", "brand_type": "b"},
+    "dim_customer_demo": {"customer_age": "i", "customer_gender": "a"},
+    "dim_event": {"sales_event": "a"},
+}
+
+
+def _natural_keys(staging: DataFrame) -> DataFrame:
+    """(dim, d, i, a, b, zone): the distinct whole keys of all dimensions, from one scan."""
+    stacked = one_spelling(staging).selectExpr(
+        """stack(5,
+          'dim_date', order_date, cast(null AS int), cast(null AS string), cast(null AS string), cast(null AS string),
+          'dim_state', cast(null AS date), cast(null AS int), state, cast(null AS string), zone,
+          'dim_product', cast(null AS date), cast(null AS int), category, brand_type, cast(null AS string),
+          'dim_customer_demo', cast(null AS date), customer_age, customer_gender, cast(null AS string),
+            cast(null AS string),
+          'dim_event', cast(null AS date), cast(null AS int), sales_event, cast(null AS string), cast(null AS string)
+          ) AS (dim, d, i, a, b, zone)"""
+    )
+    whole = reduce(
+        lambda x, y: x | y,
+        [
+            (F.col("dim") == name) & reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in columns.values()])
+            for name, columns in KEY_COLUMNS.items()
+        ],
     )
+    # Of a state named with several zones the last by name counts.
+    return stacked.where(whole).groupBy("dim", "d", "i", "a", "b").agg(F.max("zone").alias("zone"))
+
+
+def _members(keys: DataFrame, highest: dict[str, int]) -> dict[str, DataFrame]:
+    """Dimension rows for keys as of `_natural_keys`, numbered on from the highest id of each."""
+    order = [(name, "asc") for name in ("dim", "d", "i", "a", "b")]
+    placed = materialise(with_global_ranks(keys, numbers={"place": order}))
+    # One row per dimension.
+    first = {r.dim: r.first for r in placed.groupBy("dim").agg(F.min("place").alias("first")).collect()}
+
+    def of(name: str) -> DataFrame:
+        schema, _ = DIMENSIONS[name]
+        rows = placed.where(F.col("dim") == name)
+        number = F.col("place") - first.get(name, 0) + 1 + highest[name]
+        columns = [F.col(c).alias(key) for key, c in KEY_COLUMNS[name].items()]
+        rows = rows.select(number.cast("int").alias(schema.names[0]), *columns, "zone")
+        return _with_attributes(name, rows if name == "dim_state" else rows.drop("zone"))
 
-    def of(name: str, *columns: str) -> DataFrame:
-        rows = keys.where(F.col("dim") == name).selectExpr(*columns)
-        rows = _one_zone(rows.dropna(subset=["state_name"])) if name == "dim_state" else rows.dropna()
-        return _numbered(name, rows)
-
-    return {
-        "dim_date": of("dim_date", "cast(a AS date) AS full_date"),
-        "dim_state": of("dim_state", "a AS state_name", "b AS zone"),
-        "dim_product": of("dim_product", "a AS category", "b AS brand_type"),
-        "dim_customer_demo": of(
-            "dim_customer_demo", "a AS customer_gender", "cast(b AS int) AS customer_age"
-        ),
-        "dim_event": of("dim_event", "a AS sales_event"),
+    return {name: of(name) for name in DIMENSIONS}
+
+
+def _star_tables(spark: SparkSession, folder: str) -> dict[str, VersionedTable]:
+    by_month = T.StructType([*FACT_ORDERS, T.StructField("month_start", T.DateType())])
+    tables = {name: VersionedTable(spark, f"{folder}/{name}", schema) for name, (schema, _) in DIMENSIONS.items()}
+    return tables | {"fact_orders": VersionedTable(spark, f"{folder}/fact_orders", by_month, "month_start")}
+
+
+def read_loaded(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The star that `load` keeps in a folder, as of now."""
+    return {name: table.read() for name, table in _star_tables(spark, folder).items()}
+
+
+def load(staging: DataFrame, folder: str, load_id: str) -> dict[str, DataFrame]:
+    """Add orders to the star in a folder; ids that were given before never change.
+
+    Members that no dimension knows are numbered past its highest id, in the order of
+    their keys. A known state takes the last by name of all its zones. Facts are
+    appended by month. Dimensions are published before the facts: a load that dies
+    between leaves members without orders, which the repeated load finds and uses. A
+    load that is sent again with its id adds nothing.
+    """
+    tables = _star_tables(staging.sparkSession, folder)
+    if load_id in tables["fact_orders"].loads():
+        return read_loaded(staging.sparkSession, folder)
+    known = {name: tables[name].read() for name in DIMENSIONS}
+    highest = {
+        name: known[name].agg(F.max(schema.names[0])).first()[0] or 0 for name, (schema, _) in DIMENSIONS.items()
     }
+    keys = materialise(_natural_keys(staging))
+    held = []
+    for name, columns in KEY_COLUMNS.items():
+        own = {c: key for key, c in columns.items()}
+        kinds = {"d": "date", "i": "int", "a": "string", "b": "string"}
+        held.append(
+            known[name].select(
+                F.lit(name).alias("dim"),
+                *[(F.col(own[c]) if c in own else F.lit(None).cast(kind)).alias(c) for c, kind in kinds.items()],
+            )
+        )
+    names = ["dim", "d", "i", "a", "b"]
+    held = reduce(DataFrame.unionByName, held).withColumnsRenamed({c: f"_{c}" for c in names})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names])
+    fresh = _members(keys.join(held, same, "left_anti"), highest)
+    for name, rows in fresh.items():
+        if name == "dim_state":
+            zones = keys.where("dim = 'dim_state'").select(F.col("a").alias("state_name"), F.col("zone").alias("_zone"))
+            old = known[name].join(zones, "state_name", "left").withColumn("zone", F.greatest("zone", "_zone"))
+            tables[name].replace(old.select(rows.columns).unionByName(rows))
+        else:
+            tables[name].append(rows)
+    dims = {name: tables[name].read() for name in DIMENSIONS}
+    facts = fact_orders(staging, dims, ["month_start"])
+    tables["fact_orders"].append(facts.hint("rebalance", "month_start"), load_id)
+    return read_loaded(staging.sparkSession, folder)
 
 
 def _placed(staging: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
@@ -186,10 +276,11 @@ def _placed(staging: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
     return rows
 
 
-def fact_orders(staging: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
-    """Staging rows with dimension ids; a row without a match drops out."""
+def fact_orders(staging: DataFrame, dims: dict[str, DataFrame], more: Sequence[str] = ()) -> DataFrame:
+    """Staging rows with dimension ids; a row without a match drops out. `more` may name month_start."""
     ids = [schema.names[0] for schema, _ in DIMENSIONS.values()]
-    return _placed(staging, dims).dropna(subset=ids).select(FACT_ORDERS.names)
+    placed = _placed(staging, dims).dropna(subset=ids).withColumn("month_start", F.trunc("full_date", "MM"))
+    return placed.select(*FACT_ORDERS.names, *more)
 
 
 def star(staging: DataFrame) -> dict[str, DataFrame]:
