@@ -21,6 +21,22 @@ DIMS = {
         FROM (SELECT DISTINCT sales_event FROM stg)""",
 }
 
+LATER = "min(CASE WHEN order_date >= DATE '1995-06-15' THEN 1 ELSE 0 END)"
+# Dimensions after two loads: members of the first keep their ids, those of the second come after them.
+GROWN_DIMS = {
+    "dim_date": f"""SELECT row_number() OVER (ORDER BY {LATER}, order_date) AS date_id, order_date AS full_date
+        FROM stg GROUP BY order_date""",
+    "dim_state": f"""SELECT row_number() OVER (ORDER BY {LATER}, state) AS state_id, state AS state_name
+        FROM stg GROUP BY state""",
+    "dim_product": f"""SELECT row_number() OVER (ORDER BY {LATER}, category, brand_type) AS product_id,
+        category, brand_type FROM stg GROUP BY category, brand_type""",
+    "dim_customer_demo": f"""SELECT
+        row_number() OVER (ORDER BY {LATER}, customer_age, customer_gender) AS customer_demo_id,
+        customer_gender, customer_age FROM stg GROUP BY customer_gender, customer_age""",
+    "dim_event": f"""SELECT row_number() OVER (ORDER BY {LATER}, sales_event) AS event_id, sales_event
+        FROM stg GROUP BY sales_event""",
+}
+
 FACT = """SELECT order_id, date_id, state_id, product_id, customer_demo_id, event_id, base_price,
     discount_percent, final_price, units_sold, revenue, competition_intensity, inventory_pressure
     FROM stg s JOIN dim_date d ON d.full_date = s.order_date JOIN dim_state t ON t.state_name = s.state
@@ -105,6 +121,10 @@ def queries() -> dict[str, str]:
     result["D06_fact_orders"] = query(
         COLUMNS["fact_orders"], "SELECT * FROM fact_orders", *_star_ctes(), over="stg"
     )
+    result["S06_appended_facts"] = query(
+        COLUMNS["fact_orders"], "SELECT * FROM fact_orders",
+        *[f"{n} AS ({s})" for n, s in GROWN_DIMS.items()], f"fact_orders AS ({FACT})", over="stg",
+    )
     result["D07_constraint_report"] = query(
         "table_name rule columns violations:b", _violations(), *_star_ctes(), over="stg"
     )

@@ -12,5 +12,6 @@ def all_queries() -> dict[str, str]:
         "S07_written_facts": "D06_fact_orders",
         "U01_sql_functions": "Q04_revenue_loss_by_band",
         "U03_refreshed_summary": "P01_monthly_summary",
+        "U03_refreshed_by_month": "P01_monthly_summary",
     }
     return found | {name: found[plain] for name, plain in same.items()}
