@@ -97,18 +97,6 @@ def replace_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     _swap(df.sparkSession, {path: staged})
 
 
-def replace_folders(df: DataFrame, path: str, column: str, values: Sequence) -> None:
-    """Replace the folders of some partition values of a table by the rows of `df`.
-
-    A value without rows loses its folder. Until all rows are written, nothing changes.
-    """
-    spark, staged = df.sparkSession, _staged(path)
-    df.where(F.col(column).isin(*values)).write.partitionBy(column).parquet(staged)
-    _swap(spark, {f"{path}/{column}={v}": f"{staged}/{column}={v}" for v in values})
-    place = spark._jvm.org.apache.hadoop.fs.Path(staged)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def _staged(path: str) -> str:
     head, _, name = path.rstrip("/").rpartition("/")
     return f"{head}/_{name}-{uuid.uuid4().hex}"
