@@ -16,6 +16,7 @@ from revq.plans.measures import (
     revenue_per_unit,
     totals,
     weighted_price,
+    with_group,
 )
 
 EVENTS = ("festival", "normal")
@@ -55,7 +56,7 @@ def revenue_by_state_and_age(orders: DataFrame) -> DataFrame:
 
 def incentive_sensitivity(orders: DataFrame) -> DataFrame:
     """Units per category, brand and incentive group, and their share."""
-    grouped = orders.withColumn("sensitivity_group", incentive_group(F.col("discount_percent")))
+    grouped = with_group(orders, "sensitivity_group", incentive_group)
     keys = ["category", "brand_type", "sensitivity_group"]
     product = Window.partitionBy("category", "brand_type")
     return totals(grouped, keys, "units").select(

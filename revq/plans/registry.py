@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from revq.functions.labels import register_sql_functions
-from revq.plans import adhoc, model, procedures, views, whatif
+from revq.plans import adhoc, cells, model, procedures, views, whatif
 from revq.schema import FACT_ORDERS
 from revq.session import materialise, new_path
 from revq.sources import files
@@ -122,6 +122,16 @@ def _refreshed_by_month(orders: DataFrame) -> DataFrame:
     return procedures.refresh_changed_months(orders, path)[0]
 
 
+def _cannibalisation_from_cells(orders: DataFrame) -> DataFrame:
+    """Distinct orders by bitmaps that two loads have written; the second replaces the month where the first ends."""
+    path = new_path(orders.sparkSession)
+    split = F.lit(SECOND_LOAD_FROM).cast("date")
+    cells.refresh(orders.where(F.col("order_date") < split), path)
+    late = F.col("month_start") >= F.trunc(split, "MM")
+    months = [r.month_start for r in orders.where(late).select("month_start").distinct().collect()]
+    return adhoc.cannibalisation(cells.refresh(orders, path, months))
+
+
 def _results(orders: DataFrame) -> DataFrame:
     return whatif.results(orders, whatif.catalogue(LOWER_TIER_STATES))
 
@@ -141,6 +151,10 @@ FROM_ORDERS = {
     "Q12_monthly_elasticity": adhoc.monthly_elasticity,
     "Q13_margin_risk_pockets": adhoc.margin_risk_pockets,
     **VIEWS,
+    "A03_counts_from_cells": _cannibalisation_from_cells,
+    "S09_views_from_cells": lambda orders: views.risk_adjusted_summary(
+        cells.refresh(orders, new_path(orders.sparkSession))
+    ),
     "P01_monthly_summary": procedures.monthly_summary,
     "U01_sql_functions": _by_sql_functions,
     "U03_refreshed_summary": _refreshed,
