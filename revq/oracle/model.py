@@ -118,6 +118,12 @@ def queries() -> dict[str, str]:
         "discount_percent:d final_price:d units_sold:b revenue:d sales_event competition_intensity inventory_pressure",
         "SELECT * FROM stg", over="stg",
     )
+    result["S02_import_with_rejects"] = query(
+        "order_id reasons",
+        """SELECT order_id, nullif(concat_ws(', ', CASE WHEN units_sold % 11 = 0 THEN 'order_date' END,
+        CASE WHEN customer_age % 7 = 0 THEN 'units_sold' END), '') AS reasons FROM stg""",
+        over="stg",
+    )
     result["D06_fact_orders"] = query(
         COLUMNS["fact_orders"], "SELECT * FROM fact_orders", *_star_ctes(), over="stg"
     )

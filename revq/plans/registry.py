@@ -28,6 +28,22 @@ def _reimported(staging: DataFrame) -> DataFrame:
     return files.read_orders_csv(staging.sparkSession, path)
 
 
+def _import_with_rejects(staging: DataFrame) -> DataFrame:
+    """Every order of a file in which some cells are spoiled, with the reasons of those not imported."""
+    path = new_path(staging.sparkSession)
+    spoiled = staging.withColumns(
+        {
+            "order_date": F.when(F.col("units_sold") % 11 == 0, "soon").otherwise(F.col("order_date").cast("string")),
+            "units_sold": F.when(F.col("customer_age") % 7 == 0, "many").otherwise(F.col("units_sold").cast("string")),
+        }
+    )
+    files.write_csv(spoiled, path)
+    orders, rejects = files.import_orders_csv(staging.sparkSession, path)
+    return orders.select("order_id", F.lit(None).cast("string").alias("reasons")).unionByName(
+        rejects.select(F.split("line", ",")[0].alias("order_id"), F.array_join("reasons", ", ").alias("reasons"))
+    )
+
+
 def _written_facts(staging: DataFrame) -> DataFrame:
     path = new_path(staging.sparkSession)
     model.write_star(model.star(staging), path)
@@ -46,6 +62,7 @@ def _appended_facts(staging: DataFrame) -> DataFrame:
 
 FROM_STAGING = {
     "S01_csv_import": _reimported,
+    "S02_import_with_rejects": _import_with_rejects,
     "S06_appended_facts": _appended_facts,
     "S07_written_facts": _written_facts,
     "D01_dim_date": model.dim_date,

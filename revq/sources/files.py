@@ -64,6 +64,47 @@ def read_orders_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return clean_names(reduce(DataFrame.unionByName, parts))
 
 
+def import_orders_csv(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(orders, rejects) of CSV files with a header; a bad row costs nothing but itself.
+
+    Every row of the files is in exactly one of the two. Rejects are `file`, `line` and
+    `reasons`: the columns whose value is none of their type, in the order of the schema,
+    or "wrong number of values" alone. The line is as it stands in the file where the
+    number is wrong, else written anew from its values. Both results read the files; a
+    file that lacks a column still fails the import as a whole.
+    """
+    headers = _headers(spark, [path] if isinstance(path, str) else list(path))
+    if not headers:
+        raise FileNotFoundError(f"no CSV file with a header in {path}")
+    kept, left = [], []
+    for files in headers.values():
+        names = require_columns(spark.read.option("header", True).csv(files)).columns
+        line = "_line"
+        while line in names:
+            line += "_"
+        text = T.StructType([T.StructField(name, T.StringType()) for name in [*names, line]])
+        raw = spark.read.schema(text).option("header", True).option("columnNameOfCorruptRecord", line).csv(files)
+        typed, bad = [], []
+        for field in STG_ORDERS:
+            value = F.trim(F.col(f"`{field.name}`"))
+            cast = value.try_cast(field.dataType)
+            typed.append(cast.alias(field.name))
+            if field.dataType != T.StringType():
+                bad.append(F.when(value.isNotNull() & cast.isNull(), F.lit(field.name)))
+        whole = F.col(line).isNull()
+        reasons = F.when(whole, F.array_compact(F.array(*bad))).otherwise(F.array(F.lit("wrong number of values")))
+        judged = raw.withColumn("_reasons", reasons)
+        kept.append(judged.where(F.size("_reasons") == 0).select(typed))
+        written = F.to_csv(F.struct([F.col(f"`{name}`") for name in names]))
+        left.append(
+            judged.where(F.size("_reasons") > 0).select(
+                F.col("_metadata.file_path").alias("file"), F.coalesce(line, written).alias("line"),
+                F.col("_reasons").alias("reasons"),
+            )
+        )
+    return clean_names(reduce(DataFrame.unionByName, kept)), reduce(DataFrame.unionByName, left)
+
+
 def clean_names(orders: DataFrame) -> DataFrame:
     """Trim names; write closed vocabularies one way ('FESTIVAL' -> 'Festival')."""
     return one_spelling(orders.withColumns({name: F.trim(F.col(name)) for name in OPEN_NAMES}))

@@ -126,6 +126,46 @@ def test_csv_files_that_begin_with_blank_lines_are_read(spark, staging, tmp_path
         files.read_orders_csv(spark, str(tmp_path / "*.csv"))
 
 
+def test_import_puts_every_row_in_orders_or_rejects(spark, staging, tmp_path):
+    files.write_csv(staging({"state": "Goa"}).coalesce(1), str(tmp_path / "good"))
+    [part] = (tmp_path / "good").glob("*.csv")
+    header, good = part.read_text().splitlines()
+    names, values = header.split(","), good.split(",")
+
+    def line(**changes):
+        return ",".join(changes.get(name, value) for name, value in zip(names, values, strict=True))
+
+    bad = {
+        line(order_id="b1", units_sold="many"): ["units_sold"],
+        line(order_id="b2", order_date="2024-02-30", base_price="12345678901"): ["order_date", "base_price"],
+        line(order_id="b3") + ",more": ["wrong number of values"],
+        "b4,2024-01-05": ["wrong number of values"],
+        line(order_id="b5", customer_age="   x  "): ["customer_age"],
+    }
+    fine = [good, line(order_id="n1", customer_age="", state=""), line(order_id="n2", units_sold=" 3 "), good]
+    (tmp_path / "a.csv").write_text("\n".join([header, *fine[:2], *list(bad)[:3], ""]))
+    # Another order of columns, a column more, and one whose name clashes with the reader's own.
+    order = [1, 0, *range(2, len(names))]
+    turned = [",".join([x.split(",")[i] for i in order] + ["extra"]) for x in [header, *fine[2:], list(bad)[4]]]
+    (tmp_path / "b.csv").write_text("\n".join([turned[0].replace("extra", "_line"), *turned[1:], "", list(bad)[3]]))
+    orders, rejects = files.import_orders_csv(spark, str(tmp_path / "*.csv"))
+    assert orders.schema.simpleString() == STG_ORDERS.simpleString()
+    assert sorted((r.order_id, r.units_sold) for r in orders.where("order_id = 'n2'").collect()) == [("n2", 3)]
+    assert sorted(r.order_id for r in orders.collect()) == sorted(["n1", "n2", *[values[0]] * 2])
+    got = rejects.collect()
+    assert sorted(r.reasons for r in got) == sorted(bad.values())
+    wrong = {r.line for r in got if r.reasons == ["wrong number of values"]}
+    assert wrong == {line(order_id="b3") + ",more", "b4,2024-01-05"}
+    assert {r.file.rsplit("/")[-1] for r in got if "units_sold" in r.reasons} == {"a.csv"}
+    assert {r.file.rsplit("/")[-1] for r in got if "customer_age" in r.reasons} == {"b.csv"}
+    (tmp_path / "none.csv").write_text(header + "\n")
+    for result in files.import_orders_csv(spark, str(tmp_path / "none.csv")):
+        assert not result.collect()
+    (tmp_path / "short.csv").write_text("order_id,state\no1,Goa\n")
+    with pytest.raises(ValueError, match="zone"):
+        files.import_orders_csv(spark, str(tmp_path / "short.csv"))
+
+
 def test_left_out_rows_are_reported(staging):
     report = model.load_report(staging({}, {"state": None}, {"sales_event": None}, {"customer_age": None}, {"order_id": "o0"}))
     found = {(r.rule, r["columns"]): r.violations for r in report.where("violations > 0").collect()}
