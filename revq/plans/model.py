@@ -61,9 +61,12 @@ RULES = {
 }
 
 
-def enrich(staging: DataFrame) -> DataFrame:
+def enrich(staging: DataFrame, spelled: bool = False) -> DataFrame:
     """Order rows with date parts, age group and discount band: no join, no shuffle.
 
+    `spelled` says that the closed vocabularies are written one way already, as in a table of
+    `write_orders`; a filter on a brand, event or pressure then reaches the scan.
+
     This is the star schema joined back together, but for one thing: a state
     named with two zones keeps both here, and the reports that show a zone
     settle it after they have aggregated (`one_zone_per_state` in measures).
@@ -84,8 +87,10 @@ def enrich(staging: DataFrame) -> DataFrame:
         del added["month_start"]
     # One test per column, so that each can reach the scan.
     present = " AND ".join(f"{name} IS NOT NULL" for name in NATURAL_KEYS)
-    rows = one_spelling(staging.where(present)).withColumnRenamed("state", "state_name")
-    return rows.withColumns(added)
+    rows = staging.where(present)
+    if not spelled:
+        rows = one_spelling(rows)
+    return rows.withColumnRenamed("state", "state_name").withColumns(added)
 
 
 def _numbered(name: str, keys: DataFrame) -> DataFrame:

@@ -53,6 +53,35 @@ def test_month_filter_prunes_folders(spark, small_staging, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*month_start", text)
 
 
+def test_stored_names_let_filters_reach_the_scan(spark, small_staging, tmp_path):
+    path = str(tmp_path / "orders")
+    untidy = small_staging.withColumn("sales_event", F.concat(F.lit(" "), F.upper("sales_event")))
+    files.write_orders(untidy, path)
+    stored = model.enrich(files.read_orders(spark, path), spelled=True)
+    festival = F.col("sales_event") == "Festival"
+    assert "EqualTo(sales_event,Festival)" in plan(stored.where(festival))
+    sums = [views.state_growth(x.where(festival)).collect() for x in (stored, model.enrich(small_staging))]
+    assert sums[0] and sorted(sums[0]) == sorted(sums[1])
+
+
+def test_a_state_is_read_without_the_row_groups_of_others(spark, small_staging, tmp_path):
+    path, limit = str(tmp_path / "orders"), "parquet.block.row.count.limit"
+    conf = spark._jsc.hadoopConfiguration()
+    year = small_staging.where(F.year("order_date") == 1996).withColumn("order_date", F.lit("1996-01-01").cast("date"))
+    conf.setInt(limit, 20)
+    try:
+        files.write_orders(year, path)
+    finally:
+        conf.unset(limit)
+    chosen = files.read_orders(spark, path).where("state = 'NATION_3'").select("state", "units_sold")
+    assert 0 < len(chosen.collect()) == year.where("state = 'NATION_3'").count()
+    scan = chosen._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+    read = scan.metrics().apply("numOutputRows").value()
+    # Rows of the state, and the rest of at most two row groups in each file.
+    n_files = len(chosen.inputFiles())
+    assert read <= len(chosen.collect()) + 40 * n_files < year.count() / 3
+
+
 def test_scenarios_scan_orders_once_and_shuffle_only_sums(small_orders):
     text = plan(whatif.results(small_orders, whatif.catalogue()))
     assert text.count("FileScan parquet") == 1
