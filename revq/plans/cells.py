@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +49,11 @@ SUMS = {
 }
 BITMAP = {"bucket": T.LongType(), "bits": T.BinaryType()}
 KINDS = {key: T.DateType() if key == "month_start" else T.StringType() for key in KEYS} | SUMS | BITMAP
+# Columns of orders that are read.
+COLUMNS = [
+    "order_id", *[key for key in KEYS if key not in ("discount_group", "sensitivity_group")],
+    "discount_percent", "units_sold", "base_price", "final_price", "revenue",
+]
 SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in KINDS.items()])
 NUMBERS = T.StructType([T.StructField("order_id", T.StringType()), T.StructField("number", T.LongType())])
 BITS = 32768
@@ -61,8 +67,14 @@ def _tables(spark: SparkSession, path: str) -> tuple[VersionedTable, VersionedTa
     )
 
 
-def _number_new(pairs: DataFrame, numbers: VersionedTable) -> DataFrame:
-    """Give numbers to the ids that have none; return all numbers.
+def _cell_numbers(orders: DataFrame) -> DataFrame:
+    """(*COUNTED_BY, cell): a number for each cell that occurs, in their order; few rows, written."""
+    found = orders.select(*COUNTED_BY).distinct().orderBy(*COUNTED_BY)
+    return materialise(found.withColumn("cell", F.monotonically_increasing_id()))
+
+
+def _number_new(seen: DataFrame, numbers: VersionedTable) -> DataFrame:
+    """Give numbers to the ids that have none; return (number, cells) of all ids in `seen`.
 
     Of two loads that number at once, the second raises `Conflict`: it can be run again.
     """
@@ -71,20 +83,41 @@ def _number_new(pairs: DataFrame, numbers: VersionedTable) -> DataFrame:
     highest = known.agg(F.max("number")).first()[0] or 0
     # Numbers start at 1, and those of a load at a bitmap of their own.
     start = -(-highest // BITS) * BITS + 1
-    firsts = pairs.groupBy("order_id").agg(F.min(F.struct(*COUNTED_BY)).alias("cell"))
-    fresh = firsts.join(known, "order_id", "left_anti") if base else firsts
-    placed = fresh.repartitionByRange("cell", "order_id").sortWithinPartitions("cell", "order_id")
-    numbered = placed.select("order_id", (F.monotonically_increasing_id() + start).alias("number"))
-    return numbers.read(numbers.append(numbered, base=base))
+    if base:
+        seen = materialise(seen.join(known, "order_id", "left"))
+        old, fresh = seen.where("number IS NOT NULL"), seen.where("number IS NULL").drop("number")
+    else:
+        fresh = seen = materialise(seen)
+    first = F.col("cells")[0]
+    placed = fresh.repartitionByRange(first, "order_id").sortWithinPartitions(first, "order_id")
+    # Written before it is used twice: a task that runs again may number otherwise.
+    numbered = materialise(placed.withColumn("number", F.monotonically_increasing_id() + start))
+    numbers.append(numbered.select("order_id", "number"), base=base)
+    columns = ["number", "cells"]
+    return numbered.select(columns).unionAll(old.select(columns)) if base else numbered.select(columns)
 
 
 def _bitmaps(orders: DataFrame, numbers: VersionedTable) -> DataFrame:
-    """Which orders there are, per cell of COUNTED_BY; an order without an id counts for none."""
-    pairs = materialise(orders.select("order_id", *COUNTED_BY).dropna(subset=["order_id"]).distinct())
-    placed = pairs.join(_number_new(pairs, numbers), "order_id")
-    return placed.groupBy(*COUNTED_BY, F.bitmap_bucket_number("number").alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits")
+    """Which orders there are, per cell of COUNTED_BY; an order without an id counts for none.
+
+    An id travels with the numbers of its cells, and is numbered where they are. What is
+    then shuffled are numbers, each to the one task that makes its bitmap: bitmaps made
+    before the shuffle would be as many as there are of them in each task, nearly empty.
+    """
+    orders = orders.dropna(subset=["order_id"])
+    cells = _cell_numbers(orders)
+    named = cells.withColumnsRenamed({key: f"_{key}" for key in COUNTED_BY})
+    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in COUNTED_BY])
+    ids = orders.select("order_id", *COUNTED_BY).join(named, same).select("order_id", "cell")
+    seen = ids.groupBy("order_id").agg(F.sort_array(F.collect_set("cell")).alias("cells"))
+    placed = _number_new(seen, numbers).select(F.explode("cells").alias("cell"), "number")
+    bitmaps = (
+        placed.withColumn("bucket", F.bitmap_bucket_number("number"))
+        .repartition("cell", "bucket")
+        .groupBy("cell", "bucket")
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
     )
+    return bitmaps.join(cells, "cell").select(*COUNTED_BY, "bucket", "bits")
 
 
 def _rows(df: DataFrame) -> DataFrame:
@@ -99,7 +132,7 @@ def refresh(orders: DataFrame, path: str, months: Sequence[datetime.date] | None
 
     Given months are replaced: all their orders must be in `orders`, and one without any
     loses its cells. Months not given are not read. Readers see the cells before until the
-    new ones are whole. The orders are scanned twice, for the sums and for the order ids.
+    new ones are whole. The orders are scanned three times: for the sums, the cells and the order ids.
     """
     table, numbers = _tables(orders.sparkSession, path)
     if months is not None:

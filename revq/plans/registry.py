@@ -141,6 +141,8 @@ def _refreshed_by_month(orders: DataFrame) -> DataFrame:
 
 def _cannibalisation_from_cells(orders: DataFrame) -> DataFrame:
     """Distinct orders by bitmaps that two loads have written; the second replaces the month where the first ends."""
+    # Read once for the months and three times in each load.
+    orders = materialise(orders.select("order_date", *cells.COLUMNS))
     path = new_path(orders.sparkSession)
     split = F.lit(SECOND_LOAD_FROM).cast("date")
     cells.refresh(orders.where(F.col("order_date") < split), path)

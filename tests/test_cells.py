@@ -131,3 +131,28 @@ def test_two_loads_that_number_at_once(spark, tmp_path):
     with pytest.raises(Conflict):
         table.append(spark.createDataFrame([("b", 1)], cells.NUMBERS), base=0)
     assert rows(table.read()) == [("a", 1)]
+
+
+def test_numbers_are_shuffled_and_not_bitmaps(spark, many, tmp_path):
+    """A bitmap is made whole by one task, after the shuffle by cell and bucket."""
+    bits = cells._bitmaps(many, VersionedTable(spark, str(tmp_path / "n"), cells.NUMBERS))
+    lines = bits._jdf.queryExecution().executedPlan().toString().splitlines()
+    partial = [i for i, line in enumerate(lines) if "partial_bitmap_construct_agg" in line]
+    above = [line for line in lines[: partial[0]] if "Exchange hashpartitioning" in line]
+    below = [line for line in lines[partial[0] :] if "Exchange hashpartitioning(cell" in line]
+    assert partial and not above and below
+
+
+@pytest.mark.parametrize("name", ["A03_counts_from_cells", "S09_views_from_cells"])
+def test_loads_read_stored_orders(small_orders, monkeypatch, name):
+    """The tables are joined to orders once, however often a load reads them."""
+    files = []
+    refresh = cells.refresh
+
+    def noted(orders, *more):
+        files.extend(orders.inputFiles())
+        return refresh(orders, *more)
+
+    monkeypatch.setattr(cells, "refresh", noted)
+    assert registry.FROM_ORDERS[name](small_orders).count()
+    assert files and not set(small_orders.inputFiles()) & set(files)
