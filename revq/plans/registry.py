@@ -151,6 +151,11 @@ def _cannibalisation_from_cells(orders: DataFrame) -> DataFrame:
     return adhoc.cannibalisation(cells.refresh(orders, path, months))
 
 
+def _summary_from_cells(orders: DataFrame) -> DataFrame:
+    orders = materialise(orders.select(cells.COLUMNS))  # read three times in the load
+    return views.risk_adjusted_summary(cells.refresh(orders, new_path(orders.sparkSession)))
+
+
 def _results(orders: DataFrame) -> DataFrame:
     return whatif.results(orders, whatif.catalogue(LOWER_TIER_STATES))
 
@@ -171,9 +176,7 @@ FROM_ORDERS = {
     "Q13_margin_risk_pockets": adhoc.margin_risk_pockets,
     **VIEWS,
     "A03_counts_from_cells": _cannibalisation_from_cells,
-    "S09_views_from_cells": lambda orders: views.risk_adjusted_summary(
-        cells.refresh(orders, new_path(orders.sparkSession))
-    ),
+    "S09_views_from_cells": _summary_from_cells,
     "P01_monthly_summary": procedures.monthly_summary,
     "U01_sql_functions": _by_sql_functions,
     "U03_refreshed_summary": _refreshed,
