@@ -9,6 +9,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from revq.session import materialise
+
+# Rows whose keys one task counts: about 200 MB of its memory.
+KEYS_PER_TASK = 1_000_000
+
 
 @dataclass(frozen=True)
 class TableRules:
@@ -40,12 +45,12 @@ def table_violations(
     counted: Column | None = None,
     more: Mapping[tuple[str, str], Column] | None = None,
 ) -> DataFrame:
-    """The rules of one table, in one pass over it for all rules but further unique keys.
+    """The rules of one table, in one pass over it for all rules.
 
-    Rows are grouped by the first unique key; the group's row carries what its rows
-    break of the other rules, so a second, small sum gives all counts. Parents are joined
-    by their distinct keys. `counted` limits the rules to some rows; `more` names further
-    conditions to count, over all rows.
+    The pass writes the unique keys and what each row breaks. Parents are joined by their
+    distinct keys. Keys are counted in as many tasks as there are millions of rows, so a
+    task's memory does not grow with the table. `counted` limits the rules to some rows;
+    `more` names further conditions to count, over all rows.
     """
     counted = F.lit(True) if counted is None else counted
     df = tables[table]
@@ -55,20 +60,19 @@ def table_violations(
         df = df.join(parents, F.col(column) == F.col(f"_parent{i}"), "left")
         flags["foreign key", column] = counted & F.col(column).isNotNull() & F.col(f"_parent{i}").isNull()
     flags |= more or {}
-    first, *others = [list(key) for key in rule.unique] or [[]]
-    rows = df.select(*first, counted.alias("_counted"), *[f.alias(f"f{i}") for i, f in enumerate(flags.values())])
-    groups = rows.groupBy(*first).agg(
-        F.count_if("_counted").alias("n"), *[F.count_if(f"f{i}").alias(f"n{i}") for i in range(len(flags))]
-    )
-    whole_key = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in first], F.lit(bool(first)))
-    sums = [F.sum(f"n{i}").alias(f"c{i}") for i in range(len(flags))]
-    names = [*flags]
-    if first:
-        sums.append(F.count_if(whole_key & (F.col("n") > 1)).alias(f"c{len(names)}"))
-        names.append(("unique", ", ".join(first)))
-    parts = [_long(groups.agg(*sums), table, names)] if names else []
-    for key in others:
-        sizes = tables[table].where(counted).dropna(subset=key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    keys = [list(key) for key in rule.unique]
+    columns = dict.fromkeys(column for key in keys for column in key)
+    broken = {f"f{i}": flag for i, flag in enumerate(flags.values())}
+    rows = df.select(*columns, counted.alias("_counted"), *[flag.alias(name) for name, flag in broken.items()])
+    rows = materialise(rows)
+    parts = []
+    if flags:
+        sums = rows.agg(*[F.count_if(f).alias(f"c{i}") for i, f in enumerate(broken)])
+        parts.append(_long(sums, table, [*flags]))
+    tasks = -(-rows.count() // KEYS_PER_TASK) or 1 if keys else 0
+    for key in keys:
+        whole = rows.where("_counted").select(*key).dropna()
+        sizes = whole.repartition(tasks, *key).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
         parts.append(_long(sizes.agg(F.count_if(F.col("n") > 1).alias("c0")), table, [("unique", ", ".join(key))]))
     return reduce(DataFrame.unionAll, parts)
 

@@ -192,8 +192,11 @@ def _natural_keys(staging: DataFrame) -> DataFrame:
             for name, columns in KEY_COLUMNS.items()
         ],
     )
+    # Orders fall to distinct keys by hash. A maximum of texts sorts, and Spark takes it over the
+    # orders even behind distinct; so the zones of the few keys are listed.
+    few = stacked.where(whole).distinct()
     # Of a state named with several zones the last by name counts.
-    return stacked.where(whole).groupBy("dim", "d", "i", "a", "b").agg(F.max("zone").alias("zone"))
+    return few.groupBy("dim", "d", "i", "a", "b").agg(F.array_max(F.collect_list("zone")).alias("zone"))
 
 
 def _members(keys: DataFrame, highest: dict[str, int]) -> dict[str, DataFrame]:

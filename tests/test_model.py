@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from revq.operators import constraints
 from revq.operators.constraints import enforce
 from revq.plans import adhoc, model, procedures, registry, views, whatif
 from revq.schema import FACT_ORDERS, STG_ORDERS, require_columns
@@ -256,3 +257,40 @@ def test_state_performance_for_two_states(small_orders):
     for state in ("NATION_3", "NATION_21"):
         got = procedures.state_performance(small_orders, state).agg(F.sum("revenue")).first()[0]
         assert got == small_orders.where(F.col("state_name") == state).agg(F.sum("revenue")).first()[0]
+
+
+def test_keys_are_found_without_sorting_the_orders(staging):
+    """A sort in the scanning tasks holds five rows an order."""
+    text = model._natural_keys(staging({}, {}))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text and "Sort" not in text
+
+
+def test_loads_read_the_tables_once(small_staging, monkeypatch):
+    """The facts of two loads, from orders that were stored before."""
+    seen = []
+    load = model.load
+
+    def noted(staging, *rest):
+        seen.append(staging.inputFiles())
+        return load(staging, *rest)
+
+    monkeypatch.setattr(registry.model, "load", noted)
+    facts = registry.FROM_STAGING["S06_appended_facts"](small_staging)
+    assert facts.count() == small_staging.count()
+    assert not set(small_staging.inputFiles()) & {file for files in seen for file in files}
+
+
+def test_keys_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Repeated, null and uncounted keys over several tasks; their number follows the rows."""
+    made = []
+    kind = type(spark.range(0))
+    repartition = kind.repartition
+    monkeypatch.setattr(constraints, "KEYS_PER_TASK", 10)
+    monkeypatch.setattr(kind, "repartition", lambda df, n, *keys: made.append(n) or repartition(df, n, *keys))
+    df = spark.createDataFrame([(i % 40 if i < 90 else None, i) for i in range(95)], "a int, b int")
+    rule = constraints.TableRules(["a"], [("a",), ("a", "b")])
+    report = constraints.table_violations({"t": df}, "t", rule, F.col("b") != 3)
+    assert made and set(made) == {10}
+    assert rows(report) == sorted(
+        [("t", "not null", "a", 5), ("t", "unique", "a", 40), ("t", "unique", "a, b", 0)], key=str
+    )
