@@ -53,6 +53,7 @@ def _written_facts(staging: DataFrame) -> DataFrame:
 
 def _appended_facts(staging: DataFrame) -> DataFrame:
     """The facts after two loads, the later orders second; the second is sent twice."""
+    staging = materialise(staging)  # each load reads its orders twice
     path = new_path(staging.sparkSession)
     later = F.col("order_date") >= F.lit(SECOND_LOAD_FROM).cast("date")
     model.load(staging.where(~later), path, "first")
